@@ -118,7 +118,7 @@ def power_iterate(cells: DataFrame, reach: float, vectors: int = 12, steps: int
         for _ in range(steps):
             v = np.add.reduceat(v[dst] * weight[:, None], first, axis=0)
         inner = (cx // tile == pdf["tx"].iat[0]) & (cy // tile == pdf["ty"].iat[0])
-        return pd.DataFrame({"cx": cx[inner].astype(np.int32), "cy": cy[inner].astype(np.int32), "v": list(v[inner].astype(np.float32))})
+        return pd.DataFrame({"cx": cx[inner].astype(np.int32), "cy": cy[inner].astype(np.int32), "v": pd.Series(list(v[inner].astype(np.float32)), dtype=object)})
 
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
     base = cells.select("cx", "cy", F.transform("rx", lambda e: e.cast("float")).alias("rx"), F.transform("ry", lambda e: e.cast("float")).alias("ry"))
