@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspace.functions.wkt import placed, with_geometry
 from loomspace.llm.leakage import find_leaks, remove_leaks
 from loomspace.llm.packing import byte_tokens, pack
+from loomspace.llm.pii import find_personal, redact
 from loomspace.llm.rpforest import nearest_vectors
 from loomspace.llm.spectral import anchored_groups, spectral_clusters
 from loomspace.llm.topn import top_n_per_group
@@ -71,3 +72,13 @@ def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without leaked passages."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return remove_leaks(documents, find_leaks(documents, table(spark, folder, "eval_items")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct personal value of each document."""
+    return find_personal(table(spark, folder, "documents"), table(spark, folder, "given_names")).select("doc_id", "kind", "value").distinct()
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with placeholders in place of personal values."""
+    return redact(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "given_names"))

@@ -4,5 +4,7 @@ from __future__ import annotations
 
 from loomspace.llm import queries, sql
 
-QUERIES = {name: getattr(queries, name) for name in ("p1_found", "p1_clusters", "p3_found", "p5_found", "p6_found", "p6_containers", "p7_found", "p7_cleaned")}
+QUERIES = {name: getattr(queries, name) for name in (
+    "p1_found", "p1_clusters", "p3_found", "p5_found", "p6_found", "p6_containers", "p7_found", "p7_cleaned", "p8_found", "p8_redacted",
+)}
 SQL = dict(sql.SQL)
