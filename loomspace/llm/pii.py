@@ -28,14 +28,16 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]", "street": "[STREET]", "name": "[NAME]"}
 SEVEN_DIGITS = re.compile(r"(?:\d\D{0,3}){7}")
-TWO_CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ].*(?:\d|\b[^\W\d_a-zß-öø-ÿ])|\d.*\b[^\W\d_a-zß-öø-ÿ]")
+CAPITALISED = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]")
+DIGIT = re.compile(r"\d")
 SPELLED_AT = re.compile(r"\bat\b", re.I)
+#: Plain forms. Lengths are bounded (a word of a name by 60 letters, an address by the mail standard), which keeps the search linear.
 FORMS = {
-    "email": re.compile(r"[\w.+-]+(?:@| ?[\[(]at[\])] ?| at )[\w-]+(?:(?:\.| dot )[\w-]+)+", re.I),
+    "email": re.compile(r"[\w.+-]{1,64}(?:@| ?[\[(]at[\])] ?| at )[\w-]{1,63}(?:(?:\.| dot )[\w-]{1,63}){1,8}", re.I),
     "phone": re.compile(r"(?<![\w+])\+?\(?\d(?:[ ()./-]{0,2}\d){6,14}(?!\w)"),
     "idnum": re.compile(r"(?<!\w)(?:[A-Z]{1,2} ?)?\d(?:[ -]?\d){5,12}(?: ?[A-Z])?(?![\w-])"),
-    "street": re.compile(r"\d+[a-z]?(?: [^\W\d_][\w'’-]*\.?){1,5}|[^\W\d_][\w'’-]*\.?(?: [\w'’-]+\.?){0,4},? \d+[a-z]?"),
-    "name": re.compile(r"(?:[^\W\d_][\w'’-]*\.?,? ){1,4}[^\W\d_][\w'’-]*"),
+    "street": re.compile(r"\d{1,5}[a-z]?(?: [^\W\d_][\w'’-]{0,60}\.?){1,5}|[^\W\d_][\w'’-]{0,60}\.?(?: [\w'’-]{1,60}\.?){0,4},? \d{1,5}[a-z]?"),
+    "name": re.compile(r"(?:[^\W\d_][\w'’-]{0,60}\.?,? ){1,4}[^\W\d_][\w'’-]{0,60}"),
 }
 
 
@@ -45,7 +47,7 @@ def may_hold(line: str) -> bool:
     if "@" in line:
         return True
     low = line.lower()
-    if low != line and TWO_CAPITALS.search(line):
+    if low != line and (first := CAPITALISED.search(line)) and (DIGIT.search(line) or CAPITALISED.search(line, first.end())):
         return True
     return ("at" in low and SPELLED_AT.search(low) is not None) or SEVEN_DIGITS.search(line) is not None
 
@@ -144,9 +146,12 @@ class Tagger:
     def _viterbi(self, score: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         chain = self.chain.astype(np.float32)
         order = np.argsort(-size, kind="stable")
-        for lo in range(0, len(order), 512):
-            own = order[lo : lo + 512]
-            n, width = size[own], int(size[own[0]])
+        lo = 0
+        while lo < len(order):
+            width = int(size[order[lo]])
+            own = order[lo : lo + max(1, min(512, 400_000 // width))]  # one very long line makes a batch of its own
+            lo += len(own)
+            n = size[own]
             back = np.zeros((len(own), width, len(LABELS)), np.int8)
             best = score[start[own]]
             final = best.copy()
@@ -276,6 +281,18 @@ def spans_of(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> Ite
         at = end
 
 
+def lots_of(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
+    """Runs of neighbouring texts of at most ``most`` characters together (a longer text is a run of its own)."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > most:
+            yield slice(lo, i)
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(lo, len(texts))
+
+
 def tag_texts(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each text, in order."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -310,8 +327,10 @@ def find_personal(documents: DataFrame, given_names: DataFrame, document: str =
         tagger = shared.value
         for b in batches:
             ids, texts = b["__d"].tolist(), b["__x"].tolist()
-            rows = [(i, k, t[a:e], a, e) for i, t, own in zip(ids, texts, tag_texts(texts, tagger), strict=True) for a, e, k in own]
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+            for lot in lots_of(texts):
+                found = tag_texts(texts[lot], tagger)
+                rows = [(i, k, t[a:e], a, e) for i, t, own in zip(ids[lot], texts[lot], found, strict=True) for a, e, k in own]
+                yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     corpus = documents.filter(F.col(document).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(document).alias("__d"), F.col(text).alias("__x"))
     return corpus.mapInPandas(scan, schema)
@@ -327,12 +346,13 @@ def redact(documents: DataFrame, given_names: DataFrame, text: str = "text", giv
     def replaced(texts: pd.Series) -> pd.Series:
         known = [t or "" for t in texts]
         out = []
-        for t, own in zip(known, tag_texts(known, shared.value), strict=True):
-            at, kept = 0, []
-            for a, e, k in own:
-                kept += [t[at:a], PLACEHOLDER[k]]
-                at = e
-            out.append("".join([*kept, t[at:]]))
-        return pd.Series(out)
+        for lot in lots_of(known):
+            for t, own in zip(known[lot], tag_texts(known[lot], shared.value), strict=True):
+                at, kept = 0, []
+                for a, e, k in own:
+                    kept += [t[at:a], PLACEHOLDER[k]]
+                    at = e
+                out.append("".join([*kept, t[at:]]))
+        return pd.Series(out, dtype=object)
 
     return documents.withColumn(text, F.when(F.col(text).isNotNull(), replaced(F.col(text))))
