@@ -210,6 +210,36 @@ def spectral_cells(points: DataFrame, grid: CellGrid, k: int, seeds: DataFrame |
     return materialize(cells.join(labelled.select("cx", "cy", "cluster"), ["cx", "cy"]))
 
 
+def affinity_bounds(cells: DataFrame, reach: float, tile: int = 96) -> DataFrame:
+    """``cx, cy, cluster, n, lower, upper``: between which bounds the internal affinities of a cell's records lie.
+
+    Tiles of cells with a halo of two cells on each side, as in ``power_iterate``.
+    """
+    names = ["cx", "cy", "cluster", "n", "mx", "my", "x1", "y1", "x2", "y2"]
+    out = T.StructType([*(cells.schema[c] for c in names[:4]), T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        cx, cy, cluster, n, mx, my, x1, y1, x2, y2 = (pdf[c].to_numpy() for c in names)
+        key = cx.astype(np.int64) * 10_000_003 + cy
+        order = np.argsort(key)
+        ordered = key[order]
+        low, high = np.zeros(len(key)), np.zeros(len(key))
+        for dx, dy in [*NEAR, (0, 0)]:
+            want = key + dx * 10_000_003 + dy
+            at = np.minimum(np.searchsorted(ordered, want), len(key) - 1)
+            j = order[at]
+            ok = (ordered[at] == want) & (cluster == cluster[j])
+            gap = np.maximum(0, np.maximum(x1 - mx[j], mx[j] - x2)) ** 2 + np.maximum(0, np.maximum(y1 - my[j], my[j] - y2)) ** 2
+            wide = np.maximum(np.abs(x1 - mx[j]), np.abs(mx[j] - x2)) ** 2 + np.maximum(np.abs(y1 - my[j]), np.abs(my[j] - y2)) ** 2
+            high += np.where(ok, n[j] * np.exp(-gap / (reach * reach)), 0)
+            low += np.where(ok, n[j] * np.exp(-wide / (reach * reach)), 0)
+        inner = (cx // tile == pdf["tx"].iat[0]) & (cy // tile == pdf["ty"].iat[0])
+        return pd.DataFrame({"cx": cx, "cy": cy, "cluster": cluster, "n": n, "lower": low, "upper": high})[inner]
+
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / tile).cast("int"), F.floor((F.col(c) + 2) / tile).cast("int")))
+    return cells.select(*names, span("cx").alias("tx")).select("*", span("cy").alias("ty")).groupBy("tx", "ty").applyInPandas(bound, out)
+
+
 def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5, extent: tuple[float, float, float, float] = WORLD, **iteration: int) -> DataFrame:
     """Clusters of the records ``id, x, y``: ``cluster, records, cells, typical`` (ids, most typical first).
 
@@ -217,35 +247,26 @@ def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5,
     counts; the ``typical`` records of highest affinity are named, equal ones by smaller id. Cells whose upper bound stays below
     a lower bound that enough records of the cluster reach are left out beforehand, which changes nothing.
 
-    Records with a NULL id or a missing, NaN, infinite or outlying coordinate are left out; repeated ids count once; other columns
-    are ignored; an empty table gives no clusters.
+    Records with a NULL id or a missing, NaN, infinite or outlying coordinate are left out; repeated ids, whose
+    places must agree, count once; other columns are ignored; an empty table gives no clusters.
     """
     grid = CellGrid(reach, extent)
-    points = _placed(points, extent)
+    points = materialize(_placed(points, extent).groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
     cells = spectral_cells(points, grid, k, **iteration)
-    here = cells.select("cx", "cy", "cluster", "n", "x1", "y1", "x2", "y2", *(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [*NEAR, (0, 0)]))).alias("o"),)).withColumn("px", F.col("cx") + F.col("o.a")).withColumn("py", F.col("cy") + F.col("o.b"))
+    bounds = materialize(affinity_bounds(cells, reach))
+    sure = bounds.filter(F.col("n") >= typical).groupBy("cluster").agg(F.max("lower").alias("floor"))
+    survivors = bounds.join(sure, "cluster", "left").filter(F.col("upper") >= F.coalesce("floor", F.lit(0.0)) * (1 - 1e-9)).select("cx", "cy", "cluster")
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [*NEAR, (0, 0)]))).alias("o")
+    wanted = survivors.select("*", around).withColumns({"px": F.col("cx") + F.col("o.a"), "py": F.col("cy") + F.col("o.b")}).drop("o")
     there = cells.select(F.col("cx").alias("px"), F.col("cy").alias("py"), "cluster", F.struct("n", "mx", "my").alias("at"))
-    pairs = here.join(there, ["px", "py", "cluster"])
-    gap = lambda lo, hi, m: F.greatest(F.col(lo) - F.col(m), F.col(m) - F.col(hi), F.lit(0.0))
-    wide = lambda lo, hi, m: F.greatest(F.abs(F.col(lo) - F.col(m)), F.abs(F.col(m) - F.col(hi)))
-    kernel = lambda dx, dy: F.exp(-(dx * dx + dy * dy) / (reach * reach))
-    bounds = pairs.groupBy("cx", "cy", "cluster").agg(
-        F.max("n").alias("n"),
-        F.sum(F.col("at.n") * kernel(gap("x1", "x2", "at.mx"), gap("y1", "y2", "at.my"))).alias("upper"),
-        F.sum(F.col("at.n") * kernel(wide("x1", "x2", "at.mx"), wide("y1", "y2", "at.my"))).alias("lower"),
-        F.collect_list("at").alias("near"),
-    )
-    bounds = materialize(bounds)
-    # a cell may count repeated ids, so only half of its records are relied on
-    sure = bounds.filter(F.col("n") >= 2 * typical).groupBy("cluster").agg(F.max("lower").alias("floor"))
-    survivors = bounds.join(sure, "cluster", "left").filter(F.col("upper") >= F.coalesce("floor", F.lit(0.0)) * (1 - 1e-9)).select("cx", "cy", "cluster", "near")
-    scored = points.select("id", "x", "y", *grid.columns()).join(survivors, ["cx", "cy"])
+    near = wanted.join(there, ["px", "py", "cluster"]).groupBy("cx", "cy", "cluster").agg(F.collect_list("at").alias("near"))
+    scored = points.select("id", "x", "y", *grid.columns()).join(near, ["cx", "cy"])
     part = lambda e: e["n"] * F.exp(-((F.col("x") - e["mx"]) ** 2 + (F.col("y") - e["my"]) ** 2) / (reach * reach))
     # rounded, so that the order in which a sum is formed can't decide a tie
     scored = scored.select("cluster", "id", F.round(F.aggregate("near", F.lit(0.0), lambda acc, e: acc + part(e)), 6).alias("affinity"))
     best = top_n_per_group(scored, ["cluster"], "affinity", "id", typical).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("typical"))
     members = _with_cells(points, cells.select("cx", "cy", "cluster"), grid)
-    sizes = members.groupBy("id").agg(F.min("cluster").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("records"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("records"))
     counts = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"))
     return sizes.join(counts, "cluster").join(best, "cluster", "left")
 
