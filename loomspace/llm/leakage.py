@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,14 +240,28 @@ def find_leaks(documents: DataFrame, items: DataFrame, document: str = "doc_id",
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             automaton, names = shared.value
             for b in batches:
-                rows = list(_scan(b["__d"].tolist(), b["__x"].tolist(), automaton, limits))
-                yield pd.DataFrame([(names[n], *rest) for n, *rest in rows], columns=schema.fieldNames())
+                ids, texts = b["__d"].tolist(), b["__x"].tolist()
+                for lot in _lots(texts):
+                    rows = list(_scan(ids[lot], texts[lot], automaton, limits))
+                    yield pd.DataFrame([(names[n], *rest) for n, *rest in rows], columns=schema.fieldNames())
 
         part = corpus.mapInPandas(scan, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _lots(texts: list[str], most: int = 8_000_000) -> Iterator[slice]:
+    """Runs of neighbouring texts of at most ``most`` characters together (a longer text is a run of its own)."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > most:
+            yield slice(lo, i)
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(lo, len(texts))
+
+
 def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Limits) -> Iterator[tuple]:
     get = automaton.ids.get
     per_doc = [words_of(t) for t in texts]
@@ -283,28 +298,44 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer("".join(c.lower() for c in text))]
 
 
-def remove_leaks(documents: DataFrame, leaks: DataFrame, document: str = "doc_id", text: str = "text", most_share: float = 0.5) -> DataFrame:
-    """The documents without leaked passages: each passage gives way to one blank.
+def _cutter(shared: Broadcast, limits: Limits) -> Callable[[Column], Column]:
+    """A column function: ``struct<text, gone>``, the text without its leaked passages and the number of characters taken out."""
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        known = [t or "" for t in texts]
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for some in _lots(known):
+            for _, d, s, e, _ in _scan(list(range(some.start, some.stop)), known[some], shared.value, limits):
+                spans[d].append((s, e))
+        size = [0] * len(known)
+        for d, own in spans.items():
+            t, at, pieces = known[d], 0, []
+            for s, e in sorted(own):
+                a, e = max(s, at), max(e, at)
+                pieces.append(t[at:a])
+                size[d] += e - a
+                at = e
+            known[d] = " ".join([*pieces, t[at:]])
+        return pd.DataFrame({"text": pd.Series(known, dtype=object), "gone": pd.Series(size, dtype="int64")})
+
+    return cut
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", limits: Limits = Limits(), most: int = 500_000, most_share: float = 0.5) -> DataFrame:
+    """The documents with each leaked passage replaced by one blank, in the pass that finds it, without a shuffle of the texts.
 
     A document of which more than ``most_share`` of the characters would go is dropped as a whole. Documents without leaks stay as
-    they are, those with a NULL text too.
+    they are, those with a NULL or empty text too; all columns stay. Items in several automata are removed one automaton after the
+    other.
     """
+    spark = ship(documents.sparkSession)
+    kept, whole, gone = (max([stem, *(c + "_" for c in documents.columns if c.startswith(stem))], key=len) for stem in ("__kept", "__whole", "__gone"))
+    out = documents.withColumns({whole: F.length(text), gone: F.lit(0).cast("long")})
+    for lot in _shards(item_words(items, item, item_text), most):
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(lot))
 
-    @F.pandas_udf(T.StringType())
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, spans, strict=True):
-            gone, at, kept = 0, 0, []
-            for s in sorted((int(x["start"]), int(x["end"])) for x in own):
-                a, e = max(s[0], at), max(s[1], at)
-                kept.append(t[at:a])
-                gone += e - a
-                at = e
-            out.append(None if gone > most_share * len(t) else " ".join([*kept, t[at:]]))
-        return pd.Series(out)
-
-    spans = leaks.groupBy(document).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    joined = documents.join(spans, document, "left")
-    new: Column = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
-    out = joined.withColumn("__new", new).filter(F.col("__spans").isNull() | F.col("__new").isNotNull())
-    return out.withColumn(text, F.col("__new")).select(*documents.columns)
+        out = out.withColumn(kept, _cutter(shared, limits)(F.col(text)))
+        out = out.withColumns({gone: F.col(gone) + F.col(f"{kept}.gone"), text: F.when(F.col(text).isNotNull(), F.col(f"{kept}.text"))})
+        out = out.filter(F.col(text).isNull() | (F.col(whole) == 0) | (F.col(gone) <= most_share * F.col(whole)))
+    return out.select(*documents.columns)
