@@ -8,7 +8,10 @@ Spark can run as any hash or merge join, split by its skew handling, and never a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +105,44 @@ def rjoin(points: DataFrame, boxes: DataFrame, box_key: str, aggregates: dict[st
     return out
 
 
+def prepare_places(points: DataFrame, boxes: DataFrame, partitions: int, x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
+    """Places keyed and spread by cell for several joins; write it bucketed or persist it to use it again."""
+    return levels.places(points, levels.in_use(boxes), x, y).repartition(partitions, *KEY)
+
+
+def prepare_boxes(boxes: DataFrame, partitions: int, levels: Levels = Levels()) -> DataFrame:
+    return levels.boxes(boxes).repartition(partitions, *KEY)
+
+
+def prepared_pairs(places: DataFrame, boxes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """``rjoin_pairs`` of two sides that were prepared with the same number of partitions: nothing is shuffled again."""
+    p, b = places.alias("p"), boxes.hint("shuffle_hash").alias("b")
+    on = G.contains(G.Box(*(F.col(f"b.{c}") for c in CORNERS)), G.Point(F.col(f"p.{x}"), F.col(f"p.{y}")))
+    for k in KEY:
+        on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))
+    mine = [c for c in places.columns if c not in KEY]
+    return p.join(b, on).select(*(F.col(f"p.{c}") for c in mine), *(F.col(f"b.{c}") for c in boxes.columns if c not in (*mine, *KEY)))
+
+
+def rjoin_custom(points: DataFrame, boxes: DataFrame, box_key: str, partial: Callable[[pd.DataFrame], object], merge: Callable[[object, object], object], kind: str, empty: object = None, key: str = "id", parts: int = 16, x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
+    """``box_key, value`` with an aggregate of one's own: ``partial`` over some of a box's places, ``merge`` of two such values.
+
+    Each box's places are divided by a hash of ``key`` into ``parts``, so no task gets all places of a box that holds a third of
+    them; only one value a part is shuffled on. Boxes without a place get ``empty``. Use ``rjoin`` where native aggregates suffice.
+    """
+    pairs = rjoin_pairs(points, boxes.select(box_key, *CORNERS), x, y, levels).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    schema = f"{box_key} {boxes.schema[box_key].dataType.simpleString()}, value {kind}"
+
+    def first(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({box_key: [at[0]], "value": [partial(rows.drop(columns="__part"))]})
+
+    def last(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({box_key: [at[0]], "value": [reduce(merge, rows["value"].tolist())]})
+
+    held = pairs.groupBy(box_key, "__part").applyInPandas(first, schema).groupBy(box_key).applyInPandas(last, schema)
+    return boxes.select(box_key).distinct().join(held, box_key, "left").withColumn("value", F.coalesce("value", F.lit(empty).cast(kind)))
+
+
 def salted_pairs(points: DataFrame, boxes: DataFrame, hot: DataFrame, salts: int, key: str = "id", x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
     """``rjoin_pairs`` with the ``hot`` cells (``__level, __cx, __cy``) divided: their places by a hash of the key into ``salts`` parts,
     their boxes copied to each part. ``hot`` is small by construction (see ``skew.hot_cells``)."""

@@ -79,3 +79,11 @@ def knn_filter(df: DataFrame, px: float, py: float, k: int, predicate: Column |
 
 def nearest(df: DataFrame, px: float, py: float, tie: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     return knn_filter(df, px, py, 1, None, tie, x, y)
+
+
+def hilbert_filter(df: DataFrame, index: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows whose curve index lies in one of the ranges (inclusive), as comparisons that reach the reader of data sorted by it."""
+    keep = F.lit(False)
+    for a, b in ranges:
+        keep = keep | F.col(index).between(a, b)
+    return df.filter(keep)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspace.functions import bits
 from loomspace.functions import geometry as G
-from loomspace.functions.hilbert import grid_position, hilbert_cell, hilbert_index
+from loomspace.functions.hilbert import grid_position, hilbert_cell, hilbert_index, hilbert_ranges
 from loomspace.functions.wkt import format_point, placed, with_geometry
 from loomspace.operators import grid as grids
 from loomspace.operators import joins, kmeans, knn, partitioning, search, sfilter, skew, store
@@ -162,6 +162,16 @@ def rjoin_pairs(spark: Q, d: str) -> DataFrame:
     return joins.rjoin_pairs(points(spark, d).select("id", "x", "y"), boxes(spark, d)).select("bid", "id")
 
 
+def rjoin_prepared(spark: Q, d: str) -> DataFrame:
+    p, b = points(spark, d).select("id", "x", "y"), boxes(spark, d)
+    return joins.prepared_pairs(joins.prepare_places(p, b, 16), joins.prepare_boxes(b, 16)).select("bid", "id")
+
+
+def rjoin_custom(spark: Q, d: str) -> DataFrame:
+    """The largest id of each box's places, as an aggregate of one's own."""
+    return joins.rjoin_custom(points(spark, d).select("id", "x", "y"), boxes(spark, d), "bid", lambda rows: int(rows["id"].max()), max, "bigint", 0, parts=2).withColumnRenamed("value", "last")
+
+
 def rjoin_quadtree(spark: Q, d: str) -> DataFrame:
     p = points(spark, d).select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return region_join(boxes(spark, d).withColumnRenamed("bid", "id"), p, "contains").select(F.col("left_id").alias("bid"), F.col("right_id").alias("id"))
@@ -361,6 +371,12 @@ def hilbert_order(spark: Q, d: str) -> DataFrame:
     return cells.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hilbert_ranges_scan(spark: Q, d: str) -> DataFrame:
+    """Places in a rectangle of curve cells (columns 20 to 41, rows 17 to 30 of 64), found by index ranges."""
+    h = hilbert_index(grid_position(F.col("x"), -180.0, 180.0, 6), grid_position(F.col("y"), -90.0, 90.0, 6), 6)
+    return xy(search.hilbert_filter(points(spark, d).withColumn("h", h), "h", hilbert_ranges(20, 17, 41, 30, 6)))
+
+
 CENTRES = [(-100.0, 40.0), (0.0, 0.0), (60.5, -30.0), (120.0, 50.0)]
 
 
@@ -395,11 +411,11 @@ def bit_ops(spark: Q, d: str) -> DataFrame:
 NAMES = (
     "range_filter", "range_filter_boundary", "range_count", "range_fold", "range_intersects", "spatial_text", "contains_entries",
     "knn_filter", "knn_filter_pred", "nearest", "knn_join", "knn_join_pred", "knn_join_hilbert", "knn_join_pivots", "knn_join_collected", "knn_join_approx",
-    "sjoin", "sjoin_map", "sjoin_scheduled", "rjoin_count", "rjoin_sum", "rjoin_inner", "rjoin_pairs", "rjoin_quadtree", "rjoin_scheduled", "box_intersections",
+    "sjoin", "sjoin_map", "sjoin_scheduled", "rjoin_count", "rjoin_sum", "rjoin_inner", "rjoin_pairs", "rjoin_prepared", "rjoin_custom", "rjoin_quadtree", "rjoin_scheduled", "box_intersections",
     "geom_scalars", "geom_predicates", "box_box_ops", "box_point_distance", "mbr_agg",
     "build_dedup", "put_overwrite", "multiput_sum", "multiput_general", "insert_merged", "point_lookup", "multiget", "delete_keys", "remove_entries", "store_differences", "map_values",
     "grid_partition_counts", "grid_cell_counts", "box_cells", "quadtree_leaf_counts", "quadtree_partition_counts", "quadtree_load_partitions", "skew_report", "top_cells",
     "sfilter_may_contain", "sfilter_empty_fraction", "sfilter_mark_empty", "sfilter_coarse", "sfilter_encoded_count",
-    "hilbert_roundtrip", "hilbert_order", "kmeans_step", "kmeans_fit", "wkt_roundtrip", "wkt_scan", "bit_ops",
+    "hilbert_roundtrip", "hilbert_order", "hilbert_ranges_scan", "kmeans_step", "kmeans_fit", "wkt_roundtrip", "wkt_scan", "bit_ops",
 )
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -93,6 +93,8 @@ SELECT qid, id, dist, rk FROM r WHERE rk <= {K}""",
     "rjoin_sum": f"{RJOIN} SELECT b.bid, coalesce(n, 0) AS n, coalesce(ids, 0) AS ids, mean_x FROM b LEFT JOIN h ON b.bid = h.bid",
     "rjoin_inner": f"{RJOIN} SELECT bid, n, ids, mean_x FROM h",
     "rjoin_pairs": PAIRS,
+    "rjoin_prepared": PAIRS,
+    "rjoin_custom": f"WITH {P}, {B} SELECT b.bid, coalesce(max(p.id), 0) AS last FROM b LEFT JOIN p ON {INSIDE} GROUP BY b.bid",
     "rjoin_quadtree": PAIRS,
     "rjoin_scheduled": f"{RJOIN} SELECT b.bid, coalesce(n, 0) AS n, coalesce(ids, 0) AS ids FROM b LEFT JOIN h ON b.bid = h.bid",
     "box_intersections": f"WITH {GEO}, {B} SELECT bid, id AS entry_id FROM b JOIN geo AS e ON NOT e.is_point AND b.x1 <= b.x2 AND b.y1 <= b.y2 AND b.x1 <= e.x2 AND e.x1 <= b.x2 AND b.y1 <= e.y2 AND e.y1 <= b.y2",
@@ -136,6 +138,8 @@ SELECT a.bid, round(CASE WHEN area > 0 THEN 1 - coalesce(held, 0) / area END, 6)
     "sfilter_encoded_count": f"WITH {FILTER} SELECT count(*) AS n FROM f",
     "hilbert_roundtrip": f"""WITH {P} SELECT DISTINCT CAST(least(greatest(floor((CAST(x AS DOUBLE) + 180) / {d(360.0)} * 1024), 0), 1023) AS BIGINT) AS cx,
   CAST(least(greatest(floor((CAST(y AS DOUBLE) + 90) / {d(180.0)} * 1024), 0), 1023) AS BIGINT) AS cy FROM p""",
+    "hilbert_ranges_scan": f"""WITH {P} SELECT id, {XY} FROM p WHERE floor((CAST(p.x AS DOUBLE) + 180) / {d(360.0)} * 64) BETWEEN 20 AND 41
+  AND floor((CAST(p.y AS DOUBLE) + 90) / {d(180.0)} * 64) BETWEEN 17 AND 30""",
     "kmeans_step": f"""WITH {P}, e AS (SELECT x, y, [{NEAREST_CENTRE}] AS l FROM p)
 SELECT CAST(list_position(l, list_min(l)) - 1 AS BIGINT) AS cluster, count(*) AS n, round(avg(CAST(e.x AS DOUBLE)), 6) AS x, round(avg(CAST(e.y AS DOUBLE)), 6) AS y, round(sum(list_min(l)), 1) AS d2 FROM e GROUP BY 1""",
     "wkt_roundtrip": f"WITH {P} SELECT id, {XY} FROM p",

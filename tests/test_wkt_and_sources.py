@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspace.functions.wkt import format_point, with_geometry, wkt_box, wkt_point
 from loomspace.operators.joins import rjoin_pairs
+from loomspace.plans import apps
 from loomspace.sources import generators, readers
 from loomspace.streaming.ranges import stream_pairs, stream_range_filter
 
@@ -62,6 +63,17 @@ def test_roundtrip_of_coordinates(spark):
     assert back.filter("x = geometry.x1 AND y = geometry.y1").count() == 2
 
 
+def test_apps(spark, tmp_path):
+    (tmp_path / "p").write_text("POINT(1 1)\nPOINT(2 2)\nPOINT(9 9)")
+    (tmp_path / "b").write_text("POLYGON((0 0, 0 3, 3 3, 3 0, 0 0))\nPOLYGON((50 50, 50 51, 51 51, 51 50, 50 50))")
+    (tmp_path / "t").write_text("1,1,An Apple\n2,2,pear\n80,80,apple")
+    at = lambda n: str(tmp_path / n)
+    assert sorted(r["n"] for r in apps.range_join(spark, at("p"), at("b")).collect()) == [0, 2]
+    assert apps.nearest_join(spark, at("p"), at("p"), 2).count() == 6
+    assert apps.text_range(spark, at("t"), (0, 0, 5, 5), ["APPLE"]).count() == 1
+    assert [r["value"] for r in apps.nearest_of(spark, at("t"), 2.0, 2.0, 2).collect()] == ["pear", "An Apple"]
+
+
 def test_generators(spark):
     u = generators.uniform_points(spark, 1000, 3000, 100, 5, 7)
     low = u.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
