@@ -70,8 +70,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without leaked passages."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return remove_leaks(documents, find_leaks(documents, table(spark, folder, "eval_items")))
+    return remove_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

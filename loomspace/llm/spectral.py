@@ -28,7 +28,7 @@ from loomspace.plans.runtime import materialize, ship
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 #: Cells within two steps along each axis can hold records within reach.
 NEAR = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) != (0, 0)]
-#: Grids of at most this many cells may be broadcast (three integers a cell).
+#: At most this many rows of a few numbers each are broadcast; beyond it Spark's own joins do the work.
 BROADCAST_CELLS = 1_000_000
 
 
@@ -190,9 +190,9 @@ def _placed(points: DataFrame, extent: tuple[float, float, float, float]) -> Dat
     return points.filter(F.col("x").between(extent[0], extent[2]) & F.col("y").between(extent[1], extent[3]) & F.col("id").isNotNull()).select("id", "x", "y")
 
 
-def _with_cells(points: DataFrame, cells: DataFrame, grid: CellGrid) -> DataFrame:
-    """Points with the columns of their cell; the cells are broadcast where the grid bounds their number."""
-    small = F.broadcast(cells) if grid.most_cells <= BROADCAST_CELLS else cells
+def _with_cells(points: DataFrame, cells: DataFrame, grid: CellGrid, rows: int) -> DataFrame:
+    """Points with the columns of their cell; ``cells``, of ``rows`` rows, are broadcast up to a fixed number."""
+    small = F.broadcast(cells) if rows <= BROADCAST_CELLS else cells
     return points.select("id", "x", "y", *grid.columns()).join(small, ["cx", "cy"])
 
 
@@ -204,7 +204,7 @@ def spectral_cells(points: DataFrame, grid: CellGrid, k: int, seeds: DataFrame |
     rows = cells.select("cx", "cy", "n").join(v, ["cx", "cy"])
     first = None
     if seeds is not None:
-        got = v.join(F.broadcast(seeds.select("cx", "cy").distinct().limit(k)), ["cx", "cy"]).orderBy("cx", "cy").toPandas()
+        got = v.join(seeds.select("cx", "cy").distinct().limit(k), ["cx", "cy"]).orderBy("cx", "cy").toPandas()
         first = np.stack(got["v"].to_numpy()).astype(np.float64) if len(got) else None
     _, labelled = weighted_kmeans(rows, k, first)
     return materialize(cells.join(labelled.select("cx", "cy", "cluster"), ["cx", "cy"]))
@@ -265,7 +265,7 @@ def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5,
     # rounded, so that the order in which a sum is formed can't decide a tie
     scored = scored.select("cluster", "id", F.round(F.aggregate("near", F.lit(0.0), lambda acc, e: acc + part(e)), 6).alias("affinity"))
     best = top_n_per_group(scored, ["cluster"], "affinity", "id", typical).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("typical"))
-    members = _with_cells(points, cells.select("cx", "cy", "cluster"), grid)
+    members = _with_cells(points, cells.select("cx", "cy", "cluster"), grid, grid.most_cells)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("records"))
     counts = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"))
     return sizes.join(counts, "cluster").join(best, "cluster", "left")
@@ -287,7 +287,7 @@ def anchored_groups(points: DataFrame, anchors: DataFrame, reach: float, extra:
 
     Records and anchors with a NULL id or a missing, NaN, infinite or outlying coordinate are left out; repeated rows count once;
     an anchor without a record within reach gives no rows, as do empty tables; other columns are ignored. An anchor stands as a place
-    of its own in its cell.
+    of its own in its cell. The k-means has a centre for each anchor, so anchors should number in the thousands at most.
     """
     spark = ship(points.sparkSession)
     grid = CellGrid(reach, extent)
@@ -297,7 +297,7 @@ def anchored_groups(points: DataFrame, anchors: DataFrame, reach: float, extra:
     places = points.select("x", "y").unionByName(anchors.select("x", "y"))
     cells = spectral_cells(places, grid, n_anchors + extra, anchors, **iteration)
     starts = anchors.select("anchor_id", "cx", "cy")
-    clusters = cells.join(F.broadcast(starts), ["cx", "cy"]).groupBy("cluster", "cx", "cy").agg(F.collect_set("anchor_id").alias("anchors"))
+    clusters = cells.join(F.broadcast(starts) if n_anchors <= BROADCAST_CELLS else starts, ["cx", "cy"]).groupBy("cluster", "cx", "cy").agg(F.collect_set("anchor_id").alias("anchors"))
     wanted = cells.join(clusters.select("cluster").distinct(), "cluster").join(clusters.drop("cluster"), ["cx", "cy"], "left")
     out = T.StructType([starts.schema["anchor_id"], starts.schema["cx"], starts.schema["cy"]])
 
@@ -326,7 +326,7 @@ def anchored_groups(points: DataFrame, anchors: DataFrame, reach: float, extra:
     offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEAR))).alias("o")
     other = cells.select(F.col("cx").alias("px"), F.col("cy").alias("py"), *(F.col(c).alias(f"p{c}") for c in [*box, "rx", "ry"]))
     all_points = places.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *grid.columns())
-    frontier, parts = kept, [kept]
+    frontier, parts, rows = kept, [kept], kept.count()
     while True:
         own = frontier.join(cells.select("cx", "cy", *box, "rx", "ry"), ["cx", "cy"])
         beside = own.select("*", offsets).withColumn("px", F.col("cx") + F.col("o.a")).withColumn("py", F.col("cy") + F.col("o.b")).drop("o")
@@ -341,7 +341,7 @@ def anchored_groups(points: DataFrame, anchors: DataFrame, reach: float, extra:
         size = asked.count()
         new = sure
         if size:
-            few = lambda df: F.broadcast(df) if grid.most_cells <= BROADCAST_CELLS else df
+            few = lambda df: F.broadcast(df) if size <= BROADCAST_CELLS else df
             xy = [F.col("x"), F.col("y")]
             mine = all_points.join(few(asked), ["cx", "cy"]).filter(_near([*xy, *xy, *(F.col(f"p{c}") for c in box)], reach)).select("cx", "cy", "px", "py", "x", "y").distinct()
             theirs = all_points.withColumnsRenamed({"cx": "px", "cy": "py"}).join(few(asked), ["px", "py"]).filter(_near([*xy, *xy, *(F.col(c) for c in box)], reach)).select("cx", "cy", "px", "py", F.col("x").alias("u"), F.col("y").alias("v")).distinct()
@@ -350,8 +350,10 @@ def anchored_groups(points: DataFrame, anchors: DataFrame, reach: float, extra:
             met = mine.join(theirs, [*on, close], "left_semi").select("cx", "cy", "px", "py").distinct()
             new = sure.unionByName(open_pairs.join(met, ["cx", "cy", "px", "py"], "left_semi").select("anchor_id", F.col("px").alias("cx"), F.col("py").alias("cy"))).distinct()
         frontier = materialize(new)
-        if frontier.isEmpty():
+        fresh = frontier.count()
+        if not fresh:
             break
+        rows += fresh
         parts.append(frontier)
         kept = reduce(DataFrame.unionByName, parts)
-    return _with_cells(points, kept, grid).select("anchor_id", "id").distinct()
+    return _with_cells(points, kept, grid, rows).select("anchor_id", "id").distinct()
