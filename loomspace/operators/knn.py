@@ -43,9 +43,25 @@ def _bounds(q: np.ndarray, leaf: np.ndarray, count: np.ndarray, k: int) -> Itera
             yield lo + i, np.flatnonzero(visit[i])
 
 
+def _windows(x: np.ndarray, y: np.ndarray, side: float, factor: float) -> np.ndarray:
+    """Rectangles (x1, y1, x2, y2): the grid cell of each place, scaled about its centre."""
+    mx, my, half = (np.floor(x / side) + 0.5) * side, (np.floor(y / side) + 0.5) * side, factor * side / 2
+    return np.stack([mx - half, my - half, mx + half, my + half], axis=1)
+
+
+def _touched(q: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaves that each rectangle touches."""
+    step = max(1, 2_000_000 // max(1, len(leaf)))
+    for lo in range(0, len(q), step):
+        b = q[lo : lo + step]
+        hit = ((b[:, None, 0:2] <= leaf[None, :, 2:4]) & (leaf[None, :, 0:2] <= b[:, None, 2:4])).all(axis=2)
+        for i in range(len(b)):
+            yield lo + i, np.flatnonzero(hit[i])
+
+
 def knn_join(
     points: DataFrame, queries: DataFrame, k: int, key_predicate: Column | None = None, value_predicate: Column | None = None,
-    strategy: str = "each", rows: int | None = None, target: int = 8_192, max_leaves: int = 4096, run: int = 50, order: int = 16,
+    strategy: str = "each", rows: int | None = None, target: int = 8_192, max_leaves: int = 4096, run: int = 50, order: int = 16, window: tuple[float, float] | None = None,
 ) -> DataFrame:
     """``qid, id, dist, rk``: for each query ``qid, qx, qy`` the ``k`` places ``id, x, y`` nearest to it, equal distances by id.
 
@@ -56,6 +72,9 @@ def knn_join(
     ``strategy`` says how bounds are found and never changes the result: ``each`` (one bound a query), ``hilbert`` (runs of ``run`` queries
     along a Hilbert curve of the given ``order`` share the bound of their bounding box) or ``pivots`` (queries share the bound of
     their quadtree leaf's members).
+
+    With ``window`` (cell side, factor) a query only looks into its grid cell scaled by the factor about the cell's centre, which makes
+    the result approximate: see ``knn_join_approx``.
     """
     if strategy not in ("each", "hilbert", "pivots"):
         raise ValueError(f"unknown strategy {strategy}")
@@ -99,14 +118,15 @@ def knn_join(
             if not len(b):
                 continue
             x, y = b["qx"].to_numpy(np.float64), b["qy"].to_numpy(np.float64)
-            group = np.arange(len(b)) if strategy == "each" else np.arange(len(b)) // run if strategy == "hilbert" else np.unique(tree.leaf(x, y), return_inverse=True)[1]
+            group = np.arange(len(b)) if strategy == "each" or window else np.arange(len(b)) // run if strategy == "hilbert" else np.unique(tree.leaf(x, y), return_inverse=True)[1]
             at = np.argsort(group, kind="stable")
             starts = np.flatnonzero(np.diff(group[at], prepend=-1))
             rect = np.stack([f.reduceat(v[at], starts) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))], axis=1)
             ends = np.append(starts[1:], len(at))
             row, part = [], []
-            for g, see in _bounds(rect, boxes, n, k):
-                lots = np.concatenate([np.arange(first[v], first[v] + parts[v]) for v in leaf[see]])
+            seen = _bounds(rect, boxes, n, k) if window is None else _touched(_windows(x, y, *window), boxes)
+            for g, see in seen:
+                lots = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[v], first[v] + parts[v]) for v in leaf[see])])
                 own = at[starts[g] : ends[g]]
                 row.append(np.repeat(own, len(lots)))
                 part.append(np.tile(lots, len(own)))
@@ -122,11 +142,14 @@ def knn_join(
             for lo in range(0, len(q), step):
                 s = slice(lo, lo + step)
                 d2 = (px[None] - qx[s, None]).astype(np.float64) ** 2 + (py[None] - qy[s, None]).astype(np.float64) ** 2
+                if window is not None:
+                    w = _windows(qx[s].astype(np.float64), qy[s].astype(np.float64), *window)
+                    d2[(px[None] < w[:, 0:1]) | (px[None] > w[:, 2:3]) | (py[None] < w[:, 1:2]) | (py[None] > w[:, 3:4])] = np.inf
                 keep = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if len(p) > k else np.ones_like(d2, bool)
                 if len(p) > k:  # of equal distances only as many as can still be among the first k, by id
                     last = keep & (d2 == np.where(keep, d2, -1).max(axis=1, keepdims=True))
                     keep &= ~last | (np.cumsum(last, axis=1) <= k)
-                r, c = np.nonzero(keep)
+                r, c = np.nonzero(keep & np.isfinite(d2))
                 out.append(pd.DataFrame({"qid": qids[s][r], "id": ids[c], "dist": np.sqrt(d2[r, c])}))
         return pd.concat(out) if out else pd.DataFrame({"qid": q["qid"].iloc[:0], "id": p["id"].iloc[:0], "dist": pd.Series(dtype="float64")})
 
@@ -141,19 +164,10 @@ def knn_join_collected(points: DataFrame, queries: DataFrame, k: int, **options:
     return flat.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rk", "id", "dist"))).alias("neighbours"))
 
 
-def knn_join_approx(points: DataFrame, queries: DataFrame, k: int, factor: float = 3.0, side: float = 4.0) -> DataFrame:
-    """A cheaper, approximate form: each query looks only into its grid cell grown by ``factor`` times.
+def knn_join_approx(points: DataFrame, queries: DataFrame, k: int, factor: float = 3.0, side: float = 4.0, **options: object) -> DataFrame:
+    """A cheaper, approximate form: each query looks only into its grid cell grown ``factor`` times about the centre.
 
-    Queries of one cell form a group; candidates are the places in the cell's box scaled by ``factor`` about its centre. A query may
-    get fewer than ``k`` rows, or a farther one, where places are thin. Distances that do come out are exact.
+    A query may get fewer than ``k`` rows, or a farther one, where places are thin. Distances that do come out are exact. The other
+    options, and what is left out, are those of ``knn_join``.
     """
-    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(side))
-    reach = int(np.ceil((factor - 1) / 2))
-    offsets = F.sequence(F.lit(-reach), F.lit(reach))
-    p = points.filter(G.is_finite(G.point())).select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).distinct()
-    q = queries.filter(G.is_finite(G.point("qx", "qy"))).select("qid", "qx", "qy").distinct()
-    q = q.select("*", F.explode(offsets).alias("dx")).select("*", F.explode(offsets).alias("dy")).select("qid", "qx", "qy", (cell("qx") + F.col("dx")).alias("cx"), (cell("qy") + F.col("dy")).alias("cy"))
-    middle, half = lambda c: (cell(c) + 0.5) * side, factor * side / 2
-    found = p.join(q, ["cx", "cy"]).filter((F.abs(F.col("x") - middle("qx")) <= half) & (F.abs(F.col("y") - middle("qy")) <= half))
-    scored = found.select("qid", "id", G.distance(G.point(), G.point("qx", "qy")).alias("dist"))
-    return scored.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id")).cast("long")).filter(F.col("rk") <= k)
+    return knn_join(points, queries, k, window=(side, factor), **options)
