@@ -179,24 +179,32 @@ def nearest_vectors(
     candidate_schema = T.StructType([*places.schema.fields, T.StructField(data_id, data.schema[data_id].dataType), T.StructField("d2", T.DoubleType())])
 
     def ranked(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(held):
-            held = held.sort_values("__leaf", kind="stable")
-            leaf, ids, v = held["__leaf"].to_numpy(), held[data_id].to_numpy(), held[dims].to_numpy(np.float64)
-            raw = asked[dims]
-            for x, own in asked.groupby("__leaf", sort=False).indices.items():
-                lo, hi = np.searchsorted(leaf, [x, x + 1])
-                if lo == hi:
-                    continue
-                some = max(1, 4_000_000 // (hi - lo))
-                for i in range(0, len(own), some):
-                    q = own[i : i + some]
-                    d2 = ((raw.iloc[q].to_numpy(np.float64)[:, None, :] - v[None, lo:hi]) ** 2).sum(axis=2)
-                    # everything up to the k-th distance stays, ties included
-                    keep = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if hi - lo > k else np.ones_like(d2, bool)
-                    r, c = np.nonzero(keep)
-                    out.append(raw.iloc[q[r]].assign(**{data_id: ids[lo + c], "d2": d2[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({f.name: pd.Series(dtype="float64") for f in candidate_schema}).astype({data_id: "int64"})
+        if not len(asked) or not len(held):
+            return asked[dims].iloc[:0].assign(**{data_id: held[data_id].iloc[:0], "d2": np.zeros(0)})
+        held = held.iloc[np.argsort(held["__leaf"].to_numpy(), kind="stable")]
+        leaf, ids, v = held["__leaf"].to_numpy(), held[data_id].to_numpy(), held[dims].to_numpy(np.float64)
+        order = np.argsort(asked["__leaf"].to_numpy(), kind="stable")
+        wanted, q = asked["__leaf"].to_numpy()[order], asked[dims].to_numpy(np.float64)
+        rows, found, near = [order[:0]], [np.zeros(0, np.int64)], [np.zeros(0)]
+        edges = np.flatnonzero(np.diff(wanted, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            lo, hi = np.searchsorted(leaf, [wanted[a], wanted[a] + 1])
+            if lo == hi:
+                continue
+            some = max(1, 4_000_000 // (hi - lo))
+            for i in range(a, b, some):
+                own = order[i : min(i + some, b)]
+                d2 = np.zeros((len(own), hi - lo))
+                for j in range(len(dims)):
+                    d2 += (q[own, j, None] - v[None, lo:hi, j]) ** 2
+                if hi - lo > k:  # everything up to the k-th distance stays, ties included
+                    r, c = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
+                else:
+                    r, c = np.nonzero(np.ones_like(d2, bool))
+                rows.append(own[r])
+                found.append(lo + c)
+                near.append(d2[r, c])
+        return asked[dims].iloc[np.concatenate(rows)].assign(**{data_id: ids[np.concatenate(found)], "d2": np.concatenate(near)})
 
     def best(df: DataFrame) -> DataFrame:
         once = df.groupBy(*dims, data_id).agg(F.min("d2").alias("d2"))  # several trees may give the same row
