@@ -226,3 +226,9 @@ def test_very_long_lines_stay_fast(tagger):
     got = tag_texts(texts, tagger)
     assert got[3][-1][2] == "name"
     assert time.time() - began < 60
+
+
+def test_pack_very_long_text(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000), (2, "y")], "doc_id long, text string").coalesce(1)
+    got = pack(df, "doc_id", byte_tokens(F.col("text")), 4096).collect()
+    assert sum(r["tokens"] for r in got if r["doc_id"] == 1) == 3_000_001 and {r["pieces"] for r in got if r["doc_id"] == 1} == {733}
