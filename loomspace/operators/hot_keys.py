@@ -18,8 +18,8 @@ from loomspace.plans.runtime import materialize
 def one_row_per_id(df: DataFrame, id_col: str, columns: dict[str, Column]) -> DataFrame:
     """One row for each id with the least of each column's values.
 
-    A row without id counts as a record of its own nowhere: rows whose id is NULL are left out. Repeated ids that agree, as
-    exact copies do, come out unchanged; where they differ the least value of each column stands (NULL only if all are).
+    Rows with a NULL id are left out. Repeated ids that agree come out unchanged; where they differ, the least value of each
+    column stands (NULL only if all are). An empty input gives no rows.
     """
     return df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*(F.min(c).alias(n) for n, c in columns.items()))
 

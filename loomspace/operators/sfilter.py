@@ -1,6 +1,6 @@
 """A filter of occupied cells: says for a box that it certainly holds no place, or that it may hold some.
 
-It never errs on the safe side's cost: a box that does hold a place is always let through.
+There are no false negatives: a box that does hold a place is always let through.
 """
 
 from __future__ import annotations
