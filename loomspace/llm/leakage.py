@@ -262,7 +262,8 @@ def _lots(texts: list[str], most: int = 8_000_000) -> Iterator[slice]:
         yield slice(lo, len(texts))
 
 
-def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Limits) -> Iterator[tuple]:
+def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Limits, whole: bool = False) -> Iterator[tuple]:
+    """Item number, name, start, end and words of the passages that prove a leak; if ``whole``, of all passages of a leaked item."""
     get = automaton.ids.get
     per_doc = [words_of(t) for t in texts]
     sizes = np.array([len(w) + 1 for w in per_doc], np.int64)
@@ -282,13 +283,14 @@ def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Lim
                 found[d, k].append((base + end - n, at - n, n))
     for (d, k), runs in found.items():
         doc = codes[starts[d] : starts[d + 1] - 1].tolist()
-        hits = leaked(passages(doc, automaton.coded[k], runs, limits), limits)
+        every = passages(doc, automaton.coded[k], runs, limits)
+        hits = leaked(every, limits)
         if hits:
             spans = [m.span() for m in WORD.finditer(texts[d].lower())]
             same = len(texts[d].lower()) == len(texts[d])
             if not same:  # lower-casing changed the length: find the words again, one by one
                 spans = _spans(texts[d])
-            for s, e, i, j in hits:
+            for s, e, i, j in every if whole else hits:
                 yield k, names[d], spans[s][0], spans[e - 1][1], j - i
 
 
@@ -304,27 +306,31 @@ def _cutter(shared: Broadcast, limits: Limits) -> Callable[[Column], Column]:
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
     def cut(texts: pd.Series) -> pd.DataFrame:
         known = [t or "" for t in texts]
-        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for some in _lots(known):
-            for _, d, s, e, _ in _scan(list(range(some.start, some.stop)), known[some], shared.value, limits):
-                spans[d].append((s, e))
         size = [0] * len(known)
-        for d, own in spans.items():
-            t, at, pieces = known[d], 0, []
-            for s, e in sorted(own):
-                a, e = max(s, at), max(e, at)
-                pieces.append(t[at:a])
-                size[d] += e - a
-                at = e
-            known[d] = " ".join([*pieces, t[at:]])
+        left = list(range(len(known)))
+        while left:  # what a cut brings together may be a passage again
+            spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for some in _lots([known[d] for d in left]):
+                for _, d, s, e, _ in _scan(left[some], [known[d] for d in left[some]], shared.value, limits, whole=True):
+                    spans[d].append((s, e))
+            for d, own in spans.items():
+                t, at, pieces = known[d], 0, []
+                for s, e in sorted(own):
+                    a, e = max(s, at), max(e, at)
+                    pieces.append(t[at:a])
+                    size[d] += e - a
+                    at = e
+                known[d] = " ".join([*pieces, t[at:]])
+            left = sorted(spans)
         return pd.DataFrame({"text": pd.Series(known, dtype=object), "gone": pd.Series(size, dtype="int64")})
 
     return cut
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", limits: Limits = Limits(), most: int = 500_000, most_share: float = 0.5) -> DataFrame:
-    """The documents with each leaked passage replaced by one blank, in the pass that finds it, without a shuffle of the texts.
+    """The documents with all passages of each leaked item replaced by one blank each, in the pass that finds them, without a shuffle of the texts.
 
+    Cutting goes on until the document leaks nothing of the automaton's items.
     A document of which more than ``most_share`` of the characters would go is dropped as a whole. Documents without leaks stay as
     they are, those with a NULL or empty text too; all columns stay. Items in several automata are removed one automaton after the
     other.

@@ -158,6 +158,19 @@ def test_remove_leaks(spark, items):
     assert remove_leaks(df, items).columns == df.columns
 
 
+def test_nothing_leaks_after_removal(spark, items):
+    p1, p2 = _passage(1, 40), _passage(2, 50)
+    noise = " ".join(f"z{i}" for i in range(300))
+    rows = [
+        (1, " ".join(p2[:22]) + " " + noise + " " + " ".join(p2[27:50])),  # two passages that each suffice
+        (2, " ".join(p1) + " " + noise + " " + " ".join(p1)),  # two copies
+        (3, noise + " " + " ".join([*p1[:10], *p1[20:40], *p1[10:20]]) + " " + noise),  # what is left around the cut is a passage
+    ]
+    left = remove_leaks(_documents(spark, rows), items)
+    assert left.count() == 3 and find_leaks(left, items).count() == 0
+    assert all(r["text"].split() == (noise.split() * (1 + (r["doc_id"] == 3))) for r in left.collect())
+
+
 def test_limits_are_parameters(spark, items):
     rows = [(1, " ".join(_passage(1, 40)[:15]))]
     assert find_leaks(_documents(spark, rows), items).count() == 0
