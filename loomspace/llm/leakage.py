@@ -9,6 +9,7 @@ passages, the words between them are compared one by one, and an item counts as
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -141,46 +142,83 @@ class Limits:
     gap: int = 4
 
 
-def _altered(a: list[int], b: list[int]) -> int:
-    """Words that differ between two short stretches; stretches of unequal length count as altered in full."""
-    return sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else max(len(a), len(b))
+def _windows(parts: list[tuple[int, int, int, int, int]], limits: Limits) -> list[tuple[int, int, int, int]]:
+    """The longest stretch of an alignment that keeps to the rule of altered words, and the longest ones before and after it.
+
+    ``parts``: document start, end, item start, end and altered words of each piece; pieces without altered words are matches.
+    """
+    before, after = [0], []  # eight times the altered words less the words, up to each part and with it
+    for _, _, i, j, bad in parts:
+        before.append(before[-1] + bad * limits.altered - (j - i))
+    after, before = before[1:], before[:-1]
+    found, todo = [], [(0, len(parts))]
+    while todo:
+        lo, hi = todo.pop()
+        starts, highest = [], []  # a later start can be the better one only if fewer words are spent up to it
+        for n in range(lo, hi):
+            if not parts[n][4] and (not highest or before[n] > highest[-1]):
+                starts.append(n)
+                highest.append(before[n])
+        most, best = limits.passage - 1, None
+        for n in range(lo, hi):
+            if not parts[n][4] and (at := bisect_left(highest, after[n])) < len(starts) and starts[at] <= n and parts[n][3] - parts[starts[at]][2] > most:
+                most, best = parts[n][3] - parts[starts[at]][2], (starts[at], n)
+        if best:
+            a, z = best
+            found.append((parts[a][0], parts[z][1], parts[a][2], parts[z][3]))
+            todo += [(lo, a), (z + 1, hi)]
+    return found
+
+
+def _compared(doc: list[int], item: list[int], d: int, e: int, i: int, j: int) -> list[tuple[int, int, int, int, int]]:
+    """The words between two runs one by one; stretches of unequal length are one piece, altered in full."""
+    if e - d != j - i:
+        return [(d, e, i, j, max(e - d, j - i))]
+    return [(d + n, d + n + 1, i + n, i + n + 1, int(doc[d + n] != item[i + n] or item[i + n] < 0)) for n in range(e - d)]
+
+
+def _beyond(doc: list[int], item: list[int], a: int, b: int, step: int, gap: int) -> list[tuple[int, int, int, int, int]]:
+    """The words from ``a`` and ``b`` on in one direction, up to the last equal pair with at most ``gap`` altered words before it."""
+    out, good = [], 0
+    while 0 <= a < len(doc) and 0 <= b < len(item) and item[b] >= 0 and len(out) - good <= gap:
+        out.append((a, a + 1, b, b + 1, int(doc[a] != item[b])))
+        if doc[a] == item[b]:
+            good = len(out)
+        a, b = a + step, b + step
+    return out[:good][::step]
 
 
 def passages(doc: list[int], item: list[int], runs: list[tuple[int, int, int]], limits: Limits) -> list[tuple[int, int, int, int]]:
-    """Passages (document start, end, item start, end) out of exact runs (document start, item start, length)."""
-    chains: list[list[int]] = []  # document start, end, item start, end, altered words
+    """Passages (document start, end, item start, end) out of exact runs (document start, item start, length).
+
+    Runs with few words between them are chained, whatever these words are; the rule of altered words then decides which stretches
+    of a chain are passages.
+    """
+    chains: list[list[tuple[int, int, int, int, int]]] = []
+    near: list[list[tuple[int, int, int, int, int]]] = []  # chains that a run can still follow
     for d, i, n in sorted(runs):
+        near = [c for c in near if d - c[-1][1] <= limits.gap]
         best = None
-        for c in chains:
-            gd, gi = d - c[1], i - c[3]
+        for c in near:
+            _, e, _, j, _ = c[-1]
+            gd, gi = d - e, i - j
             skip = max(0, -gd, -gi)  # overlap of the runs
-            if d + n <= c[1] or i + n <= c[3] or skip >= n or max(gd, gi) + skip > limits.gap or (best and best[0][1] >= c[1]):
+            if d + n <= e or i + n <= j or skip >= n or max(gd, gi) + skip > limits.gap or (best and best[0][-1][1] >= e):
                 continue
             best = (c, skip)
         if best:
             c, skip = best
-            c[4] += _altered(doc[c[1] : d + skip], item[c[3] : i + skip])
-            c[1], c[3] = d + n, i + n
+            c += _compared(doc, item, c[-1][1], d + skip, c[-1][3], i + skip)
         else:
-            chains.append([d, d + n, i, i + n, 0])
+            c, skip = [], 0
+            chains.append(c)
+            near.append(c)
+        c += [(d + w, d + w + 1, i + w, i + w + 1, 0) for w in range(skip, n)]
+    found = []
     for c in chains:  # over single altered words at either end
-        for step in (-1, 1):
-            a, b = (c[0] - 1, c[2] - 1) if step < 0 else (c[1], c[3])
-            seen = good = bad = 0
-            while 0 <= a < len(doc) and 0 <= b < len(item) and item[b] >= 0 and seen - good <= limits.gap:
-                seen += 1
-                if doc[a] == item[b]:
-                    if (c[4] + bad) * limits.altered <= c[1] - c[0] + seen:
-                        good, kept = seen, bad
-                        if step < 0:
-                            c[0], c[2] = a, b
-                        else:
-                            c[1], c[3] = a + 1, b + 1
-                        c[4], bad = c[4] + kept, 0
-                else:
-                    bad += 1
-                a, b = a + step, b + step
-    return [(c[0], c[1], c[2], c[3]) for c in chains if c[3] - c[2] >= limits.passage and c[4] * limits.altered <= c[3] - c[2]]
+        head = _beyond(doc, item, c[0][0] - 1, c[0][2] - 1, -1, limits.gap)
+        found += _windows([*head, *c, *_beyond(doc, item, c[-1][1], c[-1][3], 1, limits.gap)], limits)
+    return sorted(set(found))
 
 
 def leaked(found: list[tuple[int, int, int, int]], limits: Limits) -> list[tuple[int, int, int, int]]:
@@ -190,9 +228,15 @@ def leaked(found: list[tuple[int, int, int, int]], limits: Limits) -> list[tuple
         return []
     if longest[3] - longest[2] >= limits.total:
         return [longest]
-    for a in found:
-        for b in found:
-            if a[1] <= b[0] and a[3] <= b[2] and a[3] - a[2] + b[3] - b[2] >= limits.total:
+    best: dict[int, tuple[int, int, int, int]] = {}  # for each end in the item, the longest passage that is over in the document
+    first = sorted(found, key=lambda p: -p[1])
+    for b in sorted(found):
+        while first and first[-1][1] <= b[0]:
+            a = first.pop()
+            if a[3] not in best or a[3] - a[2] > a[3] - best[a[3]][2]:
+                best[a[3]] = a
+        for end, a in best.items():
+            if end <= b[2] and end - a[2] + b[3] - b[2] >= limits.total:
                 return [a, b]
     return []
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspace.llm.leakage import Limits, SuffixAutomaton, find_leaks, remove_leaks
+from loomspace.llm.leakage import Limits, SuffixAutomaton, find_leaks, leaked, passages, remove_leaks
 from loomspace.llm.packing import BestFit, byte_tokens, pack, vocabulary_tokens
 from loomspace.llm.pii import default_tagger, find_personal, redact, tag_texts
 from loomspace.llm.pii_examples import labelled_lines
@@ -158,6 +158,38 @@ def test_remove_leaks(spark, items):
     assert remove_leaks(df, items).columns == df.columns
 
 
+@pytest.mark.parametrize(
+    ("change", "want"),
+    [
+        ([12, "+", "+", "+", "+", 12], [12, 12]),
+        ([20, "-", "-", "-", "-", 5], [20]),
+        ([5, "-", "-", "-", "-", 20], [20]),
+        ([5, "-", "-", 5, "-", 20], [33]),
+        ([8, "-", 7, "-", "-", "-", "-", 7, "-", 8], [16, 16]),  # both with one word in sixteen altered
+        ([12, "-", "-", "-", "-", 3, "-", "-", "-", 12], [12, 12]),
+        ([7, "-", 2, "-", 5, "-", 8], [25]),
+        ([7, "-", 2, "-", 5], [16]),
+        ([7, "-", 2, "-", 4], []),  # a word less, and two altered ones are too many
+    ],
+)
+def test_passages_keep_to_the_rule_of_altered_words(change, want):
+    doc, at = [], 0
+    for c in change:  # so many words of the item, a word put in or a word replaced
+        doc += range(at, at + c) if isinstance(c, int) else [-1]
+        at += c if isinstance(c, int) else c == "-"
+    runs, d, at = [], 0, 0
+    for c in change:
+        if isinstance(c, int) and c >= Limits().seed:
+            runs.append((d, at, c))
+        d += c if isinstance(c, int) else 1
+        at += c if isinstance(c, int) else c == "-"
+    found = passages(doc, list(range(at)), runs, Limits())
+    assert sorted(j - i for _, _, i, j in found) == sorted(want)
+    for s, e, i, j in found:
+        assert doc[s] == i and doc[e - 1] == j - 1 and 8 * sum(w < 0 for w in doc[s:e]) <= j - i
+    assert bool(leaked(found, Limits())) == (sum(sorted(want)[-2:]) >= 20)
+
+
 def test_nothing_leaks_after_removal(spark, items):
     p1, p2 = _passage(1, 40), _passage(2, 50)
     noise = " ".join(f"z{i}" for i in range(300))
