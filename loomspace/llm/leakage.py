@@ -2,7 +2,7 @@
 
 The items are normalised to words (case, punctuation, spacing, line breaks and marks vanish), sentences that several items
 share are blanked out, and one suffix automaton is built over the rest. Each document streams its words through it, which
-gives at each place the longest run of words that some item also has. Runs of one item on nearby diagonals are joined to
+gives the longest runs of words that it shares with each item. Runs of one item on nearby diagonals are joined to
 passages, the words between them are compared one by one, and an item counts as leaked when its passages are long enough.
 """
 
@@ -63,6 +63,9 @@ class SuffixAutomaton:
         for s, p in enumerate(self.link):
             if p >= 0:
                 self.children[p].append(s)
+        self.count = [len(e) for e in self.ends]  # places of each state
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+            self.count[self.link[s]] += self.count[s]
         self.bigrams = np.zeros(HASH, bool)
         if pairs:
             a, b = np.array(sorted(pairs), np.int64).T
@@ -101,13 +104,14 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return cur
 
-    def places(self, state: int) -> Iterator[tuple[int, int]]:
-        """Where the runs of ``state`` end: its own places and those of all states below it."""
+    def places(self, state: int, without: int = -1) -> Iterator[tuple[int, int]]:
+        """Where the runs of ``state`` end: its own places and those of all states below it, but for ``without`` and those below that."""
         stack = [state]
         while stack:
             s = stack.pop()
-            yield from self.ends[s]
-            stack += self.children[s]
+            if s != without:
+                yield from self.ends[s]
+                stack += self.children[s]
 
     def runs(self, codes: list[int], least: int) -> Iterator[tuple[int, int, int]]:
         """Maximal matches (end, length, state) of at least ``least`` words."""
@@ -129,6 +133,38 @@ class SuffixAutomaton:
             yield len(codes), n, s
 
 
+    def own_runs(self, codes: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """Each item's own maximal runs (end, length, item, offset after the run) of at least ``least`` words.
+
+        A run of one item inside a longer run of another is among them: at each word the places that the next word doesn't
+        follow drop out, those of the current state with the whole match and those of the states it links to with theirs.
+        """
+        nxt, link, length, count = self.next, self.link, self.length, self.count
+        s = n = 0
+        for i, c in enumerate([*codes, -1]):
+            if n >= least:
+                top = s
+                while length[link[top]] >= least:
+                    top = link[top]
+                if count[top] != (count[nxt[top][c]] if c in nxt[top] else 0):
+                    below, t, m = -1, s, n
+                    while t > 0 and m >= least:
+                        for k, at in self.places(t, below):
+                            words = self.coded[k]
+                            if c < 0 or at >= len(words) or words[at] != c:
+                                yield i, m, k, at
+                        below, t = t, link[t]
+                        m = length[t]
+            while s and c not in nxt[s]:
+                s = link[s]
+                n = length[s]
+            if c in nxt[s]:
+                s = nxt[s][c]
+                n += 1
+            else:
+                s = n = 0
+
+
 @dataclass
 class Limits:
     """``seed``: shortest exact run that is followed up; ``passage``: shortest passage that counts; ``total``: words that the
@@ -322,9 +358,8 @@ def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Lim
     for a, z in zip(lo[keep].tolist(), hi[keep].tolist(), strict=True):
         d = int(np.searchsorted(starts, a, side="right")) - 1
         base = a - int(starts[d])
-        for end, n, state in automaton.runs(codes[a:z].tolist(), limits.seed):
-            for k, at in automaton.places(state):
-                found[d, k].append((base + end - n, at - n, n))
+        for end, n, k, at in automaton.own_runs(codes[a:z].tolist(), limits.seed):
+            found[d, k].append((base + end - n, at - n, n))
     for (d, k), runs in found.items():
         doc = codes[starts[d] : starts[d + 1] - 1].tolist()
         every = passages(doc, automaton.coded[k], runs, limits)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspace.llm.leakage import Limits, SuffixAutomaton, find_leaks, leaked, passages, remove_leaks
+from loomspace.llm.leakage import GAP, Limits, SuffixAutomaton, _scan, find_leaks, leaked, passages, remove_leaks
 from loomspace.llm.packing import BestFit, byte_tokens, pack, vocabulary_tokens
 from loomspace.llm.pii import default_tagger, find_personal, redact, tag_texts
 from loomspace.llm.pii_examples import labelled_lines
@@ -112,6 +112,34 @@ def test_suffix_automaton_finds_all_longest_matches():
                 assert not any(w[i : i + n + 1] == longer for _, w in lots for i in range(len(w)))
 
 
+def test_each_item_has_its_own_maximal_runs():
+    rng = random.Random(6)
+    for _ in range(30):
+        lots = [(i, [rng.choice(["a", "b", "c", GAP] if i % 2 else "abc") for _ in range(25)]) for i in range(5)]
+        auto = SuffixAutomaton(lots)
+        text = [rng.choice("abc") for _ in range(40)]
+        want = set()
+        for k, (_, w) in enumerate(lots):
+            for d in range(len(text)):
+                for i in range(len(w)):
+                    n = 0
+                    while d + n < len(text) and i + n < len(w) and text[d + n] == w[i + n]:
+                        n += 1
+                    if n >= 3 and (not d or not i or text[d - 1] != w[i - 1]):
+                        want.add((d + n, n, k, i + n))
+        got = list(auto.own_runs([auto.ids[c] for c in text], 3))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_overlapping_items_are_all_found():
+    a = _passage(1, 30)
+    near = [w if i % 12 != 9 else f"other{i}" for i, w in enumerate(a)]
+    auto = SuffixAutomaton([(1, a), (2, a[:25] + _passage(2, 50)[:10]), (3, near)])
+    for text in (" ".join(a), "head " + " ".join(a) + " tail"):
+        assert {k for k, *_ in _scan([0], [text], auto, Limits())} == {0, 1, 2}
+    assert {k for k, *_ in _scan([0], [" ".join(near)], auto, Limits())} == {0, 1, 2}
+
+
 def test_find_leaks(spark, items):
     p1, p2, p3 = _passage(1, 40), _passage(2, 50), _passage(3, 45)
     noise = " ".join(f"z{i}" for i in range(30))
