@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspace.functions import geometry as G
+from loomspace.plans.runtime import ship
 
 
 def assign(points: DataFrame, centres: list[tuple[float, float]], x: str = "x", y: str = "y") -> DataFrame:
@@ -22,32 +27,59 @@ def lloyd_step(points: DataFrame, centres: list[tuple[float, float]], x: str = "
     return assign(points, centres, x, y).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(d(x)).alias("x"), F.avg(d(y)).alias("y"), F.sum("d2").alias("d2"))
 
 
-def kmeans(points: DataFrame, k: int, restarts: int = 3, tolerance: float = 1e-4, most: int = 100, seed: int = 1, x: str = "x", y: str = "y") -> tuple[float, list[tuple[float, float]]]:
+def _sums(points: DataFrame, centres: np.ndarray, x: str, y: str) -> pd.DataFrame:
+    """``set, cluster, n, x, y, d2`` for several sets of centres at once: members, sums of their places and of their squared distances."""
+    sets, k = centres.shape[:2]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((sets, k, 4))
+        for b in batches:
+            px, py = b[x].to_numpy(np.float64), b[y].to_numpy(np.float64)
+            for s in range(sets):
+                d2, own = np.full(len(px), np.inf), np.zeros(len(px), np.int64)
+                for c in range(k):
+                    d = (px - centres[s, c, 0]) ** 2 + (py - centres[s, c, 1]) ** 2
+                    near = d < d2
+                    own[near] = c
+                    np.minimum(d2, d, out=d2)
+                out[s] += np.stack([np.bincount(own, w, k) for w in (None, px, py, d2)], axis=1)
+        at = np.indices((sets, k)).reshape(2, -1)
+        yield pd.DataFrame({"set": at[0], "cluster": at[1]} | dict(zip(("n", "x", "y", "d2"), out.reshape(-1, 4).T, strict=True)))
+
+    names = ["n", "x", "y", "d2"]
+    return points.mapInPandas(fold, "set long, cluster long, n double, x double, y double, d2 double").groupBy("set", "cluster").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+
+
+def kmeans(points: DataFrame, k: int, restarts: int = 25, tolerance: float = 1e-4, most: int = 100, seed: int = 1, x: str = "x", y: str = "y") -> tuple[float, list[tuple[float, float]]]:
     """Dispersion (sum of squared distances) and centres of the best of several random starts.
 
-    Only ``k`` rows come to the driver in a step. Starts are ``k`` rows drawn at random; a cluster that runs empty keeps its centre.
+    A start ends once a step changes its dispersion by at most ``tolerance``, or after ``most`` steps. All starts that still move
+    take a step in one pass over the places; only ``k`` rows a start come to the driver. Starts are ``k`` rows drawn at random; a
+    cluster that runs empty keeps its centre.
     """
+    ship(points.sparkSession)
     p = points.filter(G.is_finite(G.Point(F.col(x), F.col(y)))).select(x, y).persist()
-    best: tuple[float, list[tuple[float, float]]] = (float("inf"), [])
     try:
-        for attempt in range(restarts):
-            centres = [(float(a), float(b)) for a, b in p.orderBy(F.rand(seed + attempt)).limit(k).collect()]
-            if not centres:
-                return 0.0, []
-            before = float("inf")
-            for _ in range(most):
-                rows = lloyd_step(p, centres, x, y).collect()
-                now = float(sum(r["d2"] for r in rows))
-                moved = dict(enumerate(centres)) | {int(r["cluster"]): (float(r["x"]), float(r["y"])) for r in rows}
-                centres = [moved[i] for i in range(len(centres))]
-                if before - now <= tolerance * max(now, 1e-12):
-                    break
-                before = now
-            if now < best[0]:
-                best = (now, centres)
+        starts = [p.orderBy(F.rand(seed + n)).limit(k).collect() for n in range(restarts)]
+        if not starts or not starts[0]:
+            return 0.0, []
+        centres = np.array(starts, np.float64)
+        before, going = np.full(restarts, np.inf), np.arange(restarts)
+        for _ in range(most):
+            rows = _sums(p, centres[going], x, y)
+            at, now = going[rows["set"].to_numpy()], np.zeros(restarts)
+            np.add.at(now, at, rows["d2"].to_numpy())
+            full = rows["n"].to_numpy() > 0
+            centres[at[full], rows["cluster"].to_numpy()[full]] = (rows[["x", "y"]].to_numpy() / rows[["n"]].to_numpy())[full]
+            moving = np.abs(before[going] - now[going]) > tolerance
+            before[going] = now[going]
+            going = going[moving]
+            if not len(going):
+                break
+        best = int(before.argmin())
+        return float(before[best]), [(float(a), float(b)) for a, b in centres[best]]
     finally:
         p.unpersist()
-    return best
 
 
 def ml_kmeans(points: DataFrame, k: int, seed: int = 1, x: str = "x", y: str = "y") -> DataFrame:

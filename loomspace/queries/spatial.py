@@ -386,7 +386,7 @@ def kmeans_step(spark: Q, d: str) -> DataFrame:
 
 
 def kmeans_fit(spark: Q, d: str) -> DataFrame:
-    dispersion, centres = kmeans.kmeans(points(spark, d), 8, restarts=1, most=10)
+    dispersion, centres = kmeans.kmeans(points(spark, d), 8, restarts=25, tolerance=1e-4, most=100)
     return spark.createDataFrame([(i, a, b, dispersion) for i, (a, b) in enumerate(centres)], "cluster int, x double, y double, dispersion double")
 
 

@@ -261,3 +261,40 @@ def test_kmeans(spark):
     assert dispersion < 400 and len(centres) == 3
     assert kmeans.kmeans(df.limit(0), 3) == (0.0, [])
     assert kmeans.ml_kmeans(df, 3).select("cluster").distinct().count() <= 3
+
+
+def test_kmeans_runs_all_starts_to_the_end(spark):
+    rng = np.random.default_rng(12)
+    xy = rng.uniform(-50, 50, (400, 2)).astype(np.float32)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x float, y float").persist()
+    got = kmeans.kmeans(df, 5, restarts=6, seed=3)
+    each = []
+    for n in range(6):
+        centres = [(float(a), float(b)) for a, b in df.select("x", "y").orderBy(F.rand(3 + n)).limit(5).collect()]
+        c, before = np.array(centres), np.inf
+        for _ in range(100):
+            d2 = ((xy.astype(float)[:, None] - c) ** 2).sum(axis=2)
+            own, now = d2.argmin(axis=1), d2.min(axis=1).sum()
+            c = np.array([xy[own == k].astype(float).mean(axis=0) if (own == k).any() else c[k] for k in range(5)])
+            if abs(before - now) <= 1e-4:
+                break
+            before = now
+        each.append((now, c))
+    want = min(each, key=lambda e: e[0])
+    assert abs(got[0] - want[0]) < 1e-3 and np.allclose(got[1], want[1], atol=1e-4)
+    assert got[0] < kmeans.kmeans(df, 5, restarts=1, most=2, seed=3)[0]
+
+
+def test_kmeans_fit_is_registered_with_the_whole_job(monkeypatch):
+    from loomspace.queries import spatial
+
+    seen = {}
+    monkeypatch.setattr(spatial, "points", lambda spark, d: None)
+    monkeypatch.setattr(spatial.kmeans, "kmeans", lambda points, k, **given: seen.update(given) or (0.0, []))
+
+    class Session:
+        def createDataFrame(self, rows, schema):
+            return rows
+
+    spatial.kmeans_fit(Session(), "")
+    assert seen == {"restarts": 25, "tolerance": 1e-4, "most": 100}
