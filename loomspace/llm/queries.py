@@ -59,7 +59,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """All records in 128 clusters, with their size and most typical records."""
+    """All linked groups of records, out of 128 clusters, with their size and most typical records."""
     return spectral_clusters(table(spark, folder, "points"), REACH, 128)
 
 

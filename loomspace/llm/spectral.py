@@ -240,8 +240,84 @@ def affinity_bounds(cells: DataFrame, reach: float, tile: int = 96) -> DataFrame
     return cells.select(*names, span("cx").alias("tx")).select("*", span("cy").alias("ty")).groupBy("tx", "ty").applyInPandas(bound, out)
 
 
+def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``size`` numbers the least one that the links ``a``-``b`` connect it with."""
+    root = np.arange(size)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def linked_groups(cells: DataFrame, points: DataFrame, grid: CellGrid, tile: int = 96) -> DataFrame:
+    """``cells`` with ``cluster`` replaced by the group: clusters are split into their linked cells, and what is linked across the
+    border of two clusters is one group.
+
+    Tiles of cells with a halo of two cells split their clusters on their own. Links across clusters and tiles are then joined on the
+    driver, which gets one row a linked pair of such pieces. Where extreme records don't link two cells whose bounding boxes are
+    within reach, all records of the two cells are tested.
+    """
+    reach = grid.reach
+    out = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("cx", "cy", "px", "py", "kind"))])
+    box = ["x1", "y1", "x2", "y2"]
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        cx, cy = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64)
+        cluster = pdf["cluster"].to_numpy()
+        inner = (cx // tile == pdf["tx"].iat[0]) & (cy // tile == pdf["ty"].iat[0])
+        a, b, _ = cell_links(cx, cy, np.stack(pdf["rx"].to_numpy()), np.stack(pdf["ry"].to_numpy()), reach)
+        own = inner[a] & inner[b] & (cluster[a] == cluster[b])
+        root = _roots(len(cx), a[own], b[own])
+        # all pairs of cells within two steps whose bounding boxes are near, each once
+        i, j, _ = cell_links(cx, cy, np.zeros((len(cx), 1)), np.zeros((len(cx), 1)), reach)
+        x1, y1, x2, y2 = (pdf[c].to_numpy() for c in box)
+        gx = np.maximum(0, np.maximum(x1[i] - x2[j], x1[j] - x2[i]))
+        gy = np.maximum(0, np.maximum(y1[i] - y2[j], y1[j] - y2[i]))
+        near = (gx * gx + gy * gy <= reach * reach * (1 + 1e-9)) & (root[i] != root[j]) & (inner[i] | inner[j])
+        i, j = i[near], j[near]
+        sure = np.isin(i * len(cx) + j, a * len(cx) + b)
+        at = np.flatnonzero(inner)
+        left, right = np.concatenate([at, i]), np.concatenate([root[at], j])
+        kind = np.concatenate([np.zeros(len(at)), np.where(sure, 1, 2)])
+        return pd.DataFrame({"cx": cx[left], "cy": cy[left], "px": cx[right], "py": cy[right], "kind": kind}).astype(np.int32)
+
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / tile).cast("int"), F.floor((F.col(c) + 2) / tile).cast("int")))
+    spread = cells.select("cx", "cy", "cluster", *box, "rx", "ry", span("cx").alias("tx")).select("*", span("cy").alias("ty"))
+    found = materialize(spread.groupBy("tx", "ty").applyInPandas(split, out))
+    key = lambda x, y: F.col(x).cast("long") * 10_000_003 + F.col(y)
+    pieces = found.filter("kind = 0").select("cx", "cy", key("px", "py").alias("piece"))
+    ends = pieces.withColumnsRenamed({"cx": "px", "cy": "py", "piece": "other"})
+    links = materialize(found.filter("kind > 0").distinct().join(pieces, ["cx", "cy"]).join(ends, ["px", "py"]).filter("piece <> other"))
+    pairs = links.filter("kind = 1").select("piece", "other").distinct()
+    open_pairs = links.filter("kind = 2").join(pairs, ["piece", "other"], "left_anti")
+    asked = open_pairs.select("cx", "cy", "px", "py", "piece", "other")
+    xy = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *grid.columns())
+    mine = asked.join(xy, ["cx", "cy"])
+    theirs = xy.withColumnsRenamed({"cx": "px", "cy": "py", "x": "u", "y": "v"})
+    met = mine.join(theirs, ["px", "py"]).filter((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 <= reach * reach).select("piece", "other").distinct()
+    joined = pairs.unionByName(met).toPandas()
+    names, ends_at = np.unique(joined.to_numpy(np.int64).ravel(), return_inverse=True)
+    ends_at = ends_at.reshape(-1, 2)
+    root = names[_roots(len(names), ends_at[:, 0], ends_at[:, 1])] if len(names) else names
+    spark = cells.sparkSession
+    table = spark.createDataFrame(pd.DataFrame({"piece": names, "group": root}), "piece long, group long")
+    groups = pieces.join(F.broadcast(table) if len(names) <= BROADCAST_CELLS else table, "piece", "left").select("cx", "cy", F.coalesce("group", "piece").alias("cluster"))
+    return materialize(cells.drop("cluster").join(groups, ["cx", "cy"]))
+
+
 def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5, extent: tuple[float, float, float, float] = WORLD, **iteration: int) -> DataFrame:
-    """Clusters of the records ``id, x, y``: ``cluster, records, cells, typical`` (ids, most typical first).
+    """Groups of the records ``id, x, y``: ``cluster, records, cells, typical`` (ids, most typical first).
+
+    The iteration is not carried on until the vectors settle; an exact step splits its ``k`` clusters into linked groups and joins
+    what a border of two clusters cut, so each group is whole and apart from all others (settled vectors are constant on it).
 
     A record's internal affinity is the sum of ``exp(-d² / reach²)`` over the nearby cells of its own cluster, times their record
     counts; the ``typical`` records of highest affinity are named, equal ones by smaller id. Cells whose upper bound stays below
@@ -252,7 +328,7 @@ def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5,
     """
     grid = CellGrid(reach, extent)
     points = materialize(_placed(points, extent).groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
-    cells = spectral_cells(points, grid, k, **iteration)
+    cells = linked_groups(spectral_cells(points, grid, k, **iteration), points, grid)
     bounds = materialize(affinity_bounds(cells, reach))
     sure = bounds.filter(F.col("n") >= typical).groupBy("cluster").agg(F.max("lower").alias("floor"))
     survivors = bounds.join(sure, "cluster", "left").filter(F.col("upper") >= F.coalesce("floor", F.lit(0.0)) * (1 - 1e-9)).select("cx", "cy", "cluster")

@@ -158,3 +158,18 @@ def test_spectral_clusters_find_the_groups(spark):
     for r, centre in zip(got, ((0, 0), (20, 20), (-40, 10), (60, -50)), strict=True):
         assert len(r["typical"]) == 5
         assert max(math.dist(xy[i], centre) for i in r["typical"]) < 0.5
+
+
+def test_clusters_are_linked_groups_on_thin_ground(spark):
+    xy = _rings(np.random.default_rng(8))
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    at = np.array([r[1:] for r in rows])
+    want, left = [], set(range(len(at)))
+    while left:
+        own = set(np.flatnonzero(_reached(at, at[min(left)], 0.85)).tolist())
+        want.append(len(own))
+        left -= own
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = spectral_clusters(df, 0.85, 3).collect()
+    assert sorted(r["records"] for r in got) == sorted(want)
+    assert all(len(r["typical"]) == min(5, r["records"]) for r in got)
