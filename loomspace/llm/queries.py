@@ -59,8 +59,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """All linked groups of records, out of 128 clusters, with their size and most typical records."""
-    return spectral_clusters(table(spark, folder, "points"), REACH, 128)
+    """All clusters of records with their size and most typical records."""
+    return spectral_clusters(table(spark, folder, "points"), REACH)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

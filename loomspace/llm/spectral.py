@@ -2,23 +2,23 @@
 
 Records are folded into micro-clusters: the cells of a grid so fine that any two records of a cell are within ``reach`` of each
 other. A cell keeps its record count, its bounding box and eight extreme records. Their number is bounded by the extent and
-``reach`` however many records there are. The affinity of two cells falls with the distance of their nearest extreme
-records and is zero beyond ``reach``, which gives a sparse matrix; divided by its row sums it is iterated on several random
-vectors at once. The iteration is distributed over tiles of cells: a tile gets a halo as wide as ``steps`` multiplications
-can see, makes these multiplications on its own and returns its inner cells, so one shuffle serves ``steps`` of them. A
-weighted k-means over the rows of the resulting vectors gives the clusters.
+``reach`` however many records there are. The affinity of two cells falls with the distance of their nearest records
+and is zero beyond ``reach``, which gives a sparse matrix. Divided by its row sums it is iterated on several random vectors at once,
+in tiles of cells that keep the values at the edge of their halo and take the tile's inner values on. The iteration goes
+on over shifted tiles until the clusters in question have settled: a linked group then has one value in each vector, and
+different groups have different ones. A k-means over the rows of the vectors gives the clusters, and an exact check inside
+each cluster trims what came there by chance.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,10 @@ WORLD = (-180.0, -90.0, 180.0, 90.0)
 NEAR = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) != (0, 0)]
 #: At most this many rows of a few numbers each are broadcast; beyond it Spark's own joins do the work.
 BROADCAST_CELLS = 1_000_000
+#: Cells of a tile along each axis; a tile's working set is a few MB.
+TILE = 96
+BOX = ["x1", "y1", "x2", "y2"]
+KEY = np.int64(10_000_003)
 
 
 @dataclass(frozen=True)
@@ -41,42 +45,53 @@ class CellGrid:
     def side(self) -> float:
         return self.reach / math.sqrt(2) * (1 - 1e-9)
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        x0, y0, x1, y1 = self.extent
+        return int((x1 - x0) / self.side) + 1, int((y1 - y0) / self.side) + 1
+
     @property
     def most_cells(self) -> int:
         """No data can occupy more cells."""
-        x0, y0, x1, y1 = self.extent
-        return (int((x1 - x0) / self.side) + 1) * (int((y1 - y0) / self.side) + 1)
+        return self.shape[0] * self.shape[1]
 
     def columns(self, x: str = "x", y: str = "y") -> list[Column]:
         at = lambda c, o: F.floor((F.col(c).cast("double") - F.lit(float(o))) / F.lit(self.side)).cast("int")
         return [at(x, self.extent[0]).alias("cx"), at(y, self.extent[1]).alias("cy")]
 
 
+def _extremes(x: Column, y: Column) -> list[Column]:
+    """Bounding box and the eight records farthest to each side and corner, as ``x1, y1, x2, y2, rx, ry``."""
+    s, t = x + y, x - y
+    xs = [F.min(x), F.max(x), F.min_by(x, y), F.max_by(x, y), F.min_by(x, s), F.max_by(x, s), F.min_by(x, t), F.max_by(x, t)]
+    ys = [F.min_by(y, x), F.max_by(y, x), F.min(y), F.max(y), F.min_by(y, s), F.max_by(y, s), F.min_by(y, t), F.max_by(y, t)]
+    return [F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"), F.array(*xs).alias("rx"), F.array(*ys).alias("ry")]
+
+
 def fold_cells(points: DataFrame, grid: CellGrid) -> DataFrame:
     """``cx, cy, n, mx, my, x1, y1, x2, y2, rx, ry``: the occupied cells; hot cells are combined on the map side."""
     p = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *grid.columns())
     x, y = F.col("x"), F.col("y")
-    keys = [x, -x, y, -y, x + y, -x - y, x - y, y - x]
-    return p.groupBy("cx", "cy").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
-        F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"),
-        F.array(*(F.min_by(x, k) for k in keys)).alias("rx"), F.array(*(F.min_by(y, k) for k in keys)).alias("ry"),
-    )
+    return p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), *_extremes(x, y))
 
 
-def cell_links(cx: np.ndarray, cy: np.ndarray, rx: np.ndarray, ry: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked cell pairs (each once) and the squared distance of their nearest extreme records."""
-    key = cx.astype(np.int64) * 10_000_003 + cy
+def _neighbours(key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset of ``NEAR`` its number and the pairs of cells that lie so."""
     order = np.argsort(key)
     ordered = key[order]
-    left, right, near = [], [], []
-    for dx, dy in NEAR:
-        if (dx, dy) < (0, 0):
-            continue
-        want = key + dx * 10_000_003 + dy
+    for o, (dx, dy) in enumerate(NEAR):
+        want = key + dx * KEY + dy
         at = np.minimum(np.searchsorted(ordered, want), max(0, len(key) - 1))
         i = np.flatnonzero(ordered[at] == want) if len(key) else np.zeros(0, np.int64)
-        j = order[at[i]]
+        yield o, i, order[at[i]]
+
+
+def cell_links(cx: np.ndarray, cy: np.ndarray, rx: np.ndarray, ry: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked cell pairs (each once) and the squared distance of their nearest extreme records."""
+    left, right, near = [], [], []
+    for o, i, j in _neighbours(cx.astype(np.int64) * KEY + cy):
+        if NEAR[o] < (0, 0):
+            continue
         for lo in range(0, len(i), 50_000):
             a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
             d2 = ((rx[a][:, :, None] - rx[b][:, None, :]) ** 2 + (ry[a][:, :, None] - ry[b][:, None, :]) ** 2).reshape(len(a), -1).min(axis=1)
@@ -88,6 +103,29 @@ def cell_links(cx: np.ndarray, cy: np.ndarray, rx: np.ndarray, ry: np.ndarray, r
     return np.concatenate([*left, empty]), np.concatenate([*right, empty]), np.concatenate([*near, np.zeros(0)])
 
 
+def _whole(n: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> np.ndarray:
+    """Whether a fold has no more records than distinct extremes, so that these are all of its records."""
+    z = np.sort(rx + 1j * ry, axis=1)
+    return n <= 1 + (z[:, 1:] != z[:, :-1]).sum(axis=1)
+
+
+def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``size`` numbers the least one that the links ``a``-``b`` connect it with."""
+    root = np.arange(size)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def _start(cx: np.ndarray, cy: np.ndarray, vectors: int) -> np.ndarray:
     """Random start vectors in [-1, 1) that depend on the cell alone."""
     with np.errstate(over="ignore"):
@@ -98,92 +136,312 @@ def _start(cx: np.ndarray, cy: np.ndarray, vectors: int) -> np.ndarray:
     return z.astype(np.float64) / 2.0**63 - 1.0
 
 
-def power_iterate(cells: DataFrame, reach: float, vectors: int = 12, steps: int = 8, rounds: int = 2, tile: int = 96) -> DataFrame:
-    """``cx, cy, v``: the rows of ``vectors`` random vectors after ``steps * rounds`` multiplications by the normalised affinities."""
-    halo = 2 * steps
-    kept = T.StructType([T.StructField("cx", T.IntegerType()), T.StructField("cy", T.IntegerType()), T.StructField("v", T.ArrayType(T.FloatType()))])
+def _unpack(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, width)
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        cx, cy = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64)
-        rx, ry = np.stack(pdf["rx"].to_numpy()).astype(np.float64), np.stack(pdf["ry"].to_numpy()).astype(np.float64)
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64) if "v" in pdf else _start(cx, cy, vectors)
+
+def _pack(values: np.ndarray) -> pd.Series:
+    """Each row's float32 bytes."""
+    size = values.shape[1] * 4
+    raw = np.ascontiguousarray(values, np.float32).tobytes()
+    return pd.Series([raw[i * size : (i + 1) * size] for i in range(len(values))], dtype=object)
+
+
+def _tiles(df: DataFrame, halo: int, tile: int, shift: int = 0) -> DataFrame:
+    """A row for each tile (``tx, ty``) in which, or within ``halo`` cells of which, the cell lies."""
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) + shift - halo) / tile).cast("int"), F.floor((F.col(c) + shift + halo) / tile).cast("int")))
+    spread = df.select("*", span("cx").alias("tx")).select("*", span("cy").alias("ty"))
+    # a given number of partitions: their few bytes would else be merged into one or two, each for long work
+    return spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tx", "ty")
+
+
+def _inner(pdf: pd.DataFrame, tile: int, shift: int = 0) -> np.ndarray:
+    return (((pdf["cx"] + shift) // tile == pdf["tx"]) & ((pdf["cy"] + shift) // tile == pdf["ty"])).to_numpy()
+
+
+LINKED = T.StructType([
+    T.StructField("cx", T.IntegerType()), T.StructField("cy", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType()),
+    T.StructField("px", T.IntegerType()), T.StructField("py", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in (*BOX, *(f"p{c}" for c in BOX))),
+])
+
+
+def affinities(cells: DataFrame, points: DataFrame, grid: CellGrid, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """``cx, cy, n, w`` (the affinities to the cells at the offsets of ``NEAR``, packed) and ``cx, cy, px, py, d2`` (further links).
+
+    Two cells are linked if any two of their records are within reach. Extreme records decide nearly all of it; where they don't
+    link two cells with bounding boxes in reach, and no other links of the tile join them either, all records are asked.
+    """
+    reach = grid.reach
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        cx, cy, inner = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64), _inner(pdf, tile)
+        rx, ry = np.stack(pdf["rx"].to_numpy()), np.stack(pdf["ry"].to_numpy())
         a, b, d2 = cell_links(cx, cy, rx, ry, reach)
-        w = np.exp(-d2 / (reach * reach))
-        own = np.arange(len(cx))
-        src, dst, weight = np.concatenate([a, b, own]), np.concatenate([b, a, own]), np.concatenate([w, w, np.ones(len(cx))])
-        order = np.argsort(src, kind="stable")
-        src, dst, weight = src[order], dst[order], weight[order]
-        first = np.searchsorted(src, own)  # every cell has at least its own entry
-        weight = weight / np.add.reduceat(weight, first)[src]
-        for _ in range(steps):
-            v = np.add.reduceat(v[dst] * weight[:, None], first, axis=0)
-        inner = (cx // tile == pdf["tx"].iat[0]) & (cy // tile == pdf["ty"].iat[0])
-        return pd.DataFrame({"cx": cx[inner].astype(np.int32), "cy": cy[inner].astype(np.int32), "v": pd.Series(list(v[inner].astype(np.float32)), dtype=object)})
-
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
-    base = cells.select("cx", "cy", F.transform("rx", lambda e: e.cast("float")).alias("rx"), F.transform("ry", lambda e: e.cast("float")).alias("ry"))
-    v = None
-    for _ in range(rounds):
-        rows = base if v is None else base.join(v, ["cx", "cy"])
-        spread = rows.select("*", span("cx").alias("tx")).select("*", span("cy").alias("ty"))
-        v = materialize(spread.groupBy("tx", "ty").applyInPandas(multiply, kept))
-    return v
+        whole = _whole(pdf["n"].to_numpy(), rx, ry)
+        w = np.zeros((len(cx), len(NEAR)), np.float32)
+        value = np.exp(-d2 / (reach * reach))
+        offset = (cx[b] - cx[a] + 2) * 5 + cy[b] - cy[a] + 2
+        offset -= offset > 12  # the cell itself isn't among the offsets
+        w[a, offset] = value
+        w[b, len(NEAR) - 1 - offset] = value
+        root = _roots(len(cx), a, b)
+        box = pdf[BOX].to_numpy()
+        i, j, _ = cell_links(cx, cy, np.zeros((len(cx), 1)), np.zeros((len(cx), 1)), reach)
+        gx = np.maximum(0, np.maximum(box[i, 0] - box[j, 2], box[j, 0] - box[i, 2]))
+        gy = np.maximum(0, np.maximum(box[i, 1] - box[j, 3], box[j, 1] - box[i, 3]))
+        ask = (gx * gx + gy * gy <= reach * reach * (1 + 1e-9)) & (root[i] != root[j]) & inner[i] & ~(whole[i] & whole[j])
+        i, j = i[ask], j[ask]
+        own = pd.DataFrame({"cx": cx[inner], "cy": cy[inner], "n": pdf["n"].to_numpy()[inner], "w": _pack(w[inner])})
+        asked = pd.DataFrame({"cx": cx[i], "cy": cy[i], "n": 0, "px": cx[j], "py": cy[j], **{c: box[i, k] for k, c in enumerate(BOX)}, **{f"p{c}": box[j, k] for k, c in enumerate(BOX)}})
+        made = pd.concat([own, asked]).reindex(columns=LINKED.fieldNames())
+        return made.astype({"cx": "int32", "cy": "int32", "n": "int64", "px": "Int32", "py": "Int32"})
 
+    spread = _tiles(cells.select("cx", "cy", "n", *BOX, "rx", "ry"), 2, tile)
+    both = materialize(spread.groupBy("tx", "ty").applyInPandas(link, LINKED))
+    asked = both.filter("px IS NOT NULL").drop("n", "w")
+    return both.filter("px IS NULL").select("cx", "cy", "n", "w"), exact_links(asked, points, grid)
 
-def weighted_kmeans(rows: DataFrame, k: int, seeds: np.ndarray | None = None, iterations: int = 8, sample_size: int = 20_000, seed: int = 3) -> tuple[np.ndarray, DataFrame]:
-    """Centres and ``rows`` (``cx, cy, n, v``) with the column ``cluster``.
 
-    Given ``seeds`` come first; the other centres start at rows drawn from a bounded sample, each with a probability in proportion
-    to its weight and its squared distance from the centres before it. Only sums over rows reach the driver.
+PAIR = ["cx", "cy", "px", "py"]
+
+
+def exact_links(asked: DataFrame, points: DataFrame, grid: CellGrid, finer: int = 16) -> DataFrame:
+    """``cx, cy, px, py, d2`` of the asked pairs of cells that have records within reach of each other.
+
+    The records of both cells within reach of the other's box are folded into ``finer`` × ``finer`` parts, whose extreme records and
+    boxes decide again; pairs of parts that stay open are divided further, down to single places. So a task gets at most
+    ``2 * finer²`` rows of a pair, however many records the cells hold.
+    """
+    reach2, boxes = grid.reach**2, [*BOX, *(f"p{c}" for c in BOX)]
+    xy = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *(c.alias(n) for c, n in zip(grid.columns(), ("hx", "hy"), strict=True)))
+    out = T.StructType([*(T.StructField(c, T.IntegerType()) for c in PAIR), T.StructField("d2", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in boxes)])
+
+    def parts(asked: DataFrame, rows: int) -> DataFrame:
+        """Either side's records near the other's box, folded; one pass over the points."""
+        sides = [asked.select(*PAIR, *boxes, F.lit(k).alias("side"), *(F.col(c).alias(n) for c, n in zip(PAIR[2 * k : 2 * k + 2], ("hx", "hy"), strict=True)), *(F.col(c).alias(f"o{n}") for c, n in zip(boxes[4 * k : 4 * k + 4] + boxes[4 - 4 * k : 8 - 4 * k], boxes, strict=True))) for k in (0, 1)]
+        both = sides[0].unionByName(sides[1])
+        rows_in = xy.join(F.broadcast(both) if 2 * rows <= BROADCAST_CELLS else both, ["hx", "hy"])
+        x, y, (x1, y1, x2, y2, u1, v1, u2, v2) = F.col("x"), F.col("y"), (F.col(f"o{n}") for n in boxes)
+        gx, gy = F.greatest(x - u2, u1 - x, F.lit(0.0)), F.greatest(y - v2, v1 - y, F.lit(0.0))
+        rows_in = rows_in.filter(x.between(x1, x2) & y.between(y1, y2) & (gx * gx + gy * gy <= reach2 * (1 + 1e-9)))
+        part = lambda v, lo, hi: F.when(hi > lo, F.least(F.lit(finer - 1), F.floor((v - lo) / (hi - lo) * finer))).otherwise(F.lit(0)).cast("int")
+        placed = rows_in.select(*PAIR, *(F.col(c).alias(f"q{c}") for c in boxes), "side", part(x, x1, x2).alias("sx"), part(y, y1, y2).alias("sy"), "x", "y")
+        return placed.groupBy(*PAIR, *(f"q{c}" for c in boxes), "side", "sx", "sy").agg(F.count(F.lit(1)).alias("n"), *_extremes(x, y))
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        p, q = a[BOX].to_numpy(), b[BOX].to_numpy()
+        gx = np.maximum(0, np.maximum(p[:, None, 0] - q[None, :, 2], q[None, :, 0] - p[:, None, 2]))
+        gy = np.maximum(0, np.maximum(p[:, None, 1] - q[None, :, 3], q[None, :, 1] - p[:, None, 3]))
+        i, j = np.nonzero(gx * gx + gy * gy <= reach2 * (1 + 1e-9))
+        least, open_i, open_j = np.inf, [i[:0]], [j[:0]]
+        if len(i):
+            ax, ay, bx, by = (np.stack(t[c].to_numpy()) for t, c in ((a, "rx"), (a, "ry"), (b, "rx"), (b, "ry")))
+            known = [_whole(t["n"].to_numpy(), rx, ry) | ((t["x1"] == t["x2"]) & (t["y1"] == t["y2"])).to_numpy() for t, rx, ry in ((a, ax, ay), (b, bx, by))]
+            for lo in range(0, len(i), 50_000):
+                s, t = i[lo : lo + 50_000], j[lo : lo + 50_000]
+                d2 = ((ax[s][:, :, None] - bx[t][:, None, :]) ** 2 + (ay[s][:, :, None] - by[t][:, None, :]) ** 2).reshape(len(s), -1).min(axis=1)
+                least = min(least, float(d2.min()))
+                unsure = ~(known[0][s] & known[1][t])
+                open_i.append(s[unsure])
+                open_j.append(t[unsure])
+        row = dict(zip(PAIR, (int(pdf[c].iat[0]) for c in PAIR), strict=True))
+        if least <= reach2:
+            return pd.DataFrame([row | {"d2": least}]).reindex(columns=out.fieldNames())
+        s, t = np.concatenate(open_i), np.concatenate(open_j)
+        return pd.DataFrame({**{c: np.full(len(s), v, np.int32) for c, v in row.items()}, "d2": np.full(len(s), np.nan), **{c: p[s, k] for k, c in enumerate(BOX)}, **{f"p{c}": q[t, k] for k, c in enumerate(BOX)}})
+
+    found, none = None, asked.sparkSession.createDataFrame([], T.StructType(out.fields[:5]))
+    while rows := asked.count():
+        tested = materialize(parts(asked, rows).groupBy(*PAIR, *(f"q{c}" for c in boxes)).applyInPandas(test, out))
+        met = tested.filter("d2 >= 0 AND NOT isnan(d2)").select(*PAIR, "d2")
+        found = met if found is None else found.unionByName(met)
+        asked = tested.filter("d2 IS NULL OR isnan(d2)").drop("d2").join(met, PAIR, "left_anti").distinct()
+    return none if found is None else found.groupBy(*PAIR).agg(F.min("d2").alias("d2"))
+
+
+def power_iterate(linked: DataFrame, further: DataFrame, reach: float, before: DataFrame | None = None, vectors: int = 4, steps: int = 64, halo: int = 16, tile: int = TILE, shift: int = 0, bound: float = 0.98) -> DataFrame:
+    """``cx, cy, n, w, v, gap``: one round of the power iteration on ``vectors`` vectors, which start at random or with ``before``.
+
+    Each tile multiplies ``steps`` times by the normalised affinities, with the momentum that is best if all eigenvalues but the
+    leading ones are below ``bound``; larger ones settle too, only slower. The outermost two cells of the halo keep their values.
+    A group that lies within a tile and its halo settles in one round; larger ones take several, with tiles shifted in between.
+    ``w`` comes out with the links of ``further`` added; ``gap`` is the largest difference from a linked cell, near zero once settled.
+    """
+    momentum = 2 / (1 + math.sqrt(1 - bound * bound))
+    kept = T.StructType([*LINKED.fields[:4], T.StructField("v", T.BinaryType()), T.StructField("gap", T.FloatType())])
+    number = {o: k for k, o in enumerate(NEAR)}
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        extra, pdf = pdf[pdf["w"].isna()], pdf[pdf["w"].notna()]
+        cx, cy, inner = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64), _inner(pdf, tile, shift)
+        if not inner.any():
+            return pd.DataFrame({c: [] for c in kept.fieldNames()}).astype({"cx": "int32", "cy": "int32", "n": "int64", "gap": "float32"})
+        w = _unpack(pdf["w"], len(NEAR)).copy()
+        key = cx * KEY + cy
+        if len(extra):
+            order = np.argsort(key)
+            for x, y, px, py, d2 in extra[[*PAIR, "d2"]].itertuples(index=False):
+                at = order[min(len(key) - 1, int(np.searchsorted(key[order], x * KEY + y)))]
+                if key[at] == x * KEY + y:
+                    w[at, number[int(px - x), int(py - y)]] = math.exp(-d2 / (reach * reach))
+        src, dst, weight = [np.arange(len(cx))], [np.arange(len(cx))], [np.ones(len(cx), np.float32)]
+        for o, i, j in _neighbours(key):
+            on = w[i, o] > 0
+            src.append(i[on])
+            dst.append(j[on])
+            weight.append(w[i[on], o])
+        src, dst, weight = np.concatenate(src), np.concatenate(dst), np.concatenate(weight)
+        order = np.argsort(src, kind="stable")
+        src, dst, weight = src[order], dst[order], weight[order]
+        first = np.searchsorted(src, np.arange(len(cx)))  # every cell has at least its own entry
+        weight = (weight / np.add.reduceat(weight, first)[src])[:, None]
+        v = _unpack(pdf["v"], vectors).copy() if before is not None else _start(cx, cy, vectors).astype(np.float32)
+        lo_x, lo_y = (int(pdf[c].iat[0]) * tile - shift - halo + 2 for c in ("tx", "ty"))
+        side = tile + 2 * halo - 4
+        fixed = np.flatnonzero((cx < lo_x) | (cx >= lo_x + side) | (cy < lo_y) | (cy >= lo_y + side))
+        held, old = v[fixed], v
+        v = np.add.reduceat(v[dst] * weight, first, axis=0)
+        v[fixed] = held
+        for _ in range(steps - 1):
+            new = np.float32(momentum) * np.add.reduceat(v[dst] * weight, first, axis=0) + np.float32(1 - momentum) * old
+            new[fixed] = held
+            old, v = v, new
+        gap = np.maximum.reduceat(np.abs(v[dst] - v[src]).max(axis=1), first)
+        return pd.DataFrame({"cx": cx[inner].astype(np.int32), "cy": cy[inner].astype(np.int32), "n": pdf["n"].to_numpy()[inner], "w": _pack(w[inner]), "v": _pack(v[inner]), "gap": gap[inner]})
+
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    rows = linked if before is None else before
+    rows = rows.select("cx", "cy", "n", "w", null("v", "binary") if before is None else "v", null("px", "int"), null("py", "int"), null("d2", "double"))
+    both = [further, further.select(F.col("px").alias("cx"), F.col("py").alias("cy"), F.col("cx").alias("px"), F.col("cy").alias("py"), "d2")]
+    for links in both if before is None else []:
+        rows = rows.unionByName(links.select("cx", "cy", F.lit(0).cast("long").alias("n"), null("w", "binary"), null("v", "binary"), "px", "py", "d2"))
+    return materialize(_tiles(rows, halo, tile, shift).groupBy("tx", "ty").applyInPandas(multiply, kept))
+
+
+def fitted_centres(rows: DataFrame, vectors: int, seeds: np.ndarray | None = None, most: int = 1024, tolerance: float = 1e-3, iterations: int = 4) -> np.ndarray:
+    """Centres of a k-means over the embedding ``cx, cy, n, v``.
+
+    Given ``seeds`` come first, then the places of the embedding that hold most records: settled groups are single points there, the
+    heavier the larger. At most ``most`` places are taken, none within twice the ``tolerance`` of a centre before it. A centre then moves
+    to the weighted mean of the rows within ``tolerance`` of it that have no nearer centre (a mean over all its rows would
+    drift off a settled group with whatever lies around it). Only sums over rows reach the driver, at most ``most`` of them.
     """
     spark = ship(rows.sparkSession)
-    sample = rows.select("n", "v").orderBy(F.xxhash64("cx", "cy")).limit(sample_size).toPandas()
-    if not len(sample):
-        return np.zeros((0, 1)), rows.withColumn("cluster", F.lit(0))
-    v, w = np.stack(sample["v"].to_numpy()).astype(np.float64), sample["n"].to_numpy(np.float64)
-    rng = np.random.default_rng(seed)
-    centres = [] if seeds is None else list(seeds)
-    d2 = np.min([((v - c) ** 2).sum(axis=1) for c in centres], axis=0) if centres else np.ones(len(v))
-    while len(centres) < k and (d2 * w).sum() > 0:
-        centres.append(v[rng.choice(len(v), p=d2 * w / (d2 * w).sum())])
-        d2 = np.minimum(d2, ((v - centres[-1]) ** 2).sum(axis=1))
-    at = np.array(centres)
-    dims = at.shape[1]
-
-    def nearest(b: pd.DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack(b["v"].to_numpy()).astype(np.float64)
-        return x, np.argmin((c * c).sum(axis=1) - 2 * x @ c.T, axis=1)
-
-    names = ["w", *(f"s{i}" for i in range(dims))]
-    partial = T.StructType([T.StructField("cluster", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-    for _ in range(iterations):
+    names = ["w", *(f"s{i}" for i in range(vectors))]
+    partial = T.StructType([T.StructField("cluster", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+    scale = (1 + np.arange(vectors)) * np.int64(0x2545F4914F6CDD1D)
+
+    def summed(batches: Iterator[pd.DataFrame], number) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, n = _unpack(b["v"], vectors).astype(np.float64), b["n"].to_numpy(np.float64)
+                own, core = number(x)
+                at, place = np.unique(own[core], return_inverse=True)
+                sums = np.zeros((len(at), vectors + 1))
+                np.add.at(sums, place, np.concatenate([n[:, None], x * n[:, None]], axis=1)[core])
+                made = pd.DataFrame(sums, columns=names)
+                made.insert(0, "cluster", at.astype(np.int64))
+                yield made
+
+    def bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return (np.floor(x / (4 * tolerance)).astype(np.int64) * scale).sum(axis=1), np.ones(len(x), bool)
+
+    def totals(number) -> DataFrame:
+        return rows.select("n", "v").mapInPandas(lambda it: summed(it, number), partial).groupBy("cluster").agg(*(F.sum(n).alias(n) for n in names))
+
+    heavy = totals(bucket).orderBy(F.col("w").desc(), "cluster").limit(most).toPandas()
+    wanted = heavy[names[1:]].to_numpy() / heavy[["w"]].to_numpy()
+    at = np.zeros((0, vectors))
+    for c in wanted if seeds is None else np.concatenate([seeds.astype(np.float64), wanted]):
+        if not len(at) or ((at - c) ** 2).sum(axis=1).min() > (2 * tolerance) ** 2:
+            at = np.concatenate([at, c[None]])
+    for _ in range(iterations if len(at) else 0):
         shared = spark.sparkContext.broadcast(at)
-
-        def fold(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            c = shared.value
-            sums = np.zeros((len(c), dims + 1))
-            for b in batches:
-                if len(b):
-                    x, own = nearest(b, c)
-                    n = b["n"].to_numpy(np.float64)
-                    np.add.at(sums, own, np.concatenate([n[:, None], x * n[:, None]], axis=1))
-            made = pd.DataFrame(sums, columns=names)
-            made.insert(0, "cluster", np.arange(len(c), dtype=np.int32))
-            yield made[made["w"] > 0]
-
-        got = rows.select("n", "v").mapInPandas(fold, partial).groupBy("cluster").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+        got = totals(lambda x, shared=shared: nearest_centre(x, shared.value, tolerance)).toPandas()
         new = at.copy()
         new[got["cluster"].to_numpy()] = got[names[1:]].to_numpy() / got[["w"]].to_numpy()
         moved, at = float(np.abs(new - at).max()), new
-        if moved < 1e-4:
+        if moved <= tolerance / 4:
             break
-    shared = spark.sparkContext.broadcast(at)
+    return at
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's nearest centre, and whether it is within ``tolerance``."""
+    own = np.empty(len(x), np.int32)
+    half = (centres * centres).sum(axis=1) / 2
+    for lo in range(0, len(x), 4096):
+        own[lo : lo + 4096] = np.argmin(half - x[lo : lo + 4096] @ centres.T, axis=1)
+    return own, ((x - centres[own]) ** 2).sum(axis=1) <= tolerance * tolerance
+
+
+def labelled(rows: DataFrame, centres: np.ndarray, tolerance: float = 1e-3) -> DataFrame:
+    """``rows`` with ``cluster``: twice the number of the nearest centre, and one more if the row isn't within ``tolerance`` of it."""
+    shared = ship(rows.sparkSession).sparkContext.broadcast(centres)
 
     @F.pandas_udf(T.IntegerType())
     def label(v: pd.Series) -> pd.Series:
-        return pd.Series(nearest(pd.DataFrame({"v": v}), shared.value)[1].astype(np.int32)) if len(v) else pd.Series([], dtype="int32")
+        if not len(v):
+            return pd.Series([], dtype="int32")
+        own, core = nearest_centre(_unpack(v, shared.value.shape[1]).astype(np.float64), shared.value, tolerance)
+        return pd.Series(2 * own + ~core, dtype="int32")
 
-    return at, rows.withColumn("cluster", label("v"))
+    return rows.withColumn("cluster", label("v"))
+
+
+def trimmed(rows: DataFrame, grid: CellGrid, tile: int = TILE) -> DataFrame:
+    """``cx, cy, cluster, part, leak``: clusters divided into their linked parts, by links between cells of one cluster alone.
+
+    ``leak`` says that the cell is linked to a cell outside its cluster, or outside ``rows``. Tiles find the parts on their own; links
+    across their borders are then joined in tiles eight times as wide, and so on, so no task gets more than the links along
+    some borders.
+    """
+    out = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("cx", "cy", "cluster")), T.StructField("part", T.LongType()), T.StructField("other", T.LongType()), T.StructField("leak", T.BooleanType())])
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        cx, cy, cluster, inner = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64), pdf["cluster"].to_numpy(), _inner(pdf, tile)
+        w, key = _unpack(pdf["w"], len(NEAR)), cx * KEY + cy
+        ends, met = [], np.zeros((len(cx), len(NEAR)), bool)
+        for o, i, j in _neighbours(key):
+            on = (w[i, o] > 0) & (cluster[i] == cluster[j])
+            met[i[on], o] = True
+            ends.append(np.stack([i[on], j[on]]))
+        a, b = np.concatenate(ends, axis=1)
+        own = inner[a] & inner[b]
+        root = key[_roots(len(cx), a[own], b[own])]
+        across = inner[a] & ~inner[b]
+        at = np.flatnonzero(inner)
+        made = pd.DataFrame({"cx": cx[at], "cy": cy[at], "cluster": cluster[at], "part": root[at], "other": pd.array([pd.NA] * len(at), "Int64"), "leak": ((w > 0) & ~met).any(axis=1)[at]})
+        links = pd.DataFrame({"cx": cx[b[across]], "cy": cy[b[across]], "cluster": cluster[a[across]], "part": root[a[across]], "other": pd.array(key[b[across]], "Int64"), "leak": False})
+        return pd.concat([made, links]).astype({"cx": "int32", "cy": "int32", "cluster": "int32"})
+
+    found = materialize(_tiles(rows.select("cx", "cy", "cluster", "w"), 2, tile).groupBy("tx", "ty").applyInPandas(split, out))
+    parts = found.filter("other IS NULL").drop("other")
+    # the far end of a link across a border is named by its cell; its part is known in the cell's own tile
+    ends = parts.select("cx", "cy", F.col("part").alias("other"))
+    links = materialize(found.filter("other IS NOT NULL").select("cx", "cy", "part").distinct().join(ends, ["cx", "cy"]).select("part", "other").distinct())
+    merge = T.StructType([T.StructField("part", T.LongType()), T.StructField("other", T.LongType()), T.StructField("root", T.LongType())])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf[["part", "other"]].to_numpy(np.int64).ravel(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = names[_roots(len(names), at[:, 0], at[:, 1])]
+        moved = root != names
+        return pd.DataFrame({"part": names[moved], "other": names[moved], "root": root[moved]})
+
+    width = tile
+    while not links.isEmpty():
+        width *= 8
+        block = lambda c: (F.floor(F.col(c) / int(KEY) / width), F.floor(F.col(c) % int(KEY) / width))
+        (a, b), (c, d) = block("part"), block("other")
+        placed = links.withColumns({"bx": a, "by": b, "same": (a == c) & (b == d)})
+        roots = materialize(placed.filter("same").groupBy("bx", "by").applyInPandas(join, merge)).select("part", "root")
+        step = lambda df, c: df.join(roots.withColumnRenamed("part", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        parts = step(parts, "part")
+        links = materialize(step(step(placed.filter("NOT same").select("part", "other"), "part"), "other").filter("part <> other").distinct())
+    return parts
 
 
 def _placed(points: DataFrame, extent: tuple[float, float, float, float]) -> DataFrame:
@@ -196,21 +454,7 @@ def _with_cells(points: DataFrame, cells: DataFrame, grid: CellGrid, rows: int)
     return points.select("id", "x", "y", *grid.columns()).join(small, ["cx", "cy"])
 
 
-def spectral_cells(points: DataFrame, grid: CellGrid, k: int, seeds: DataFrame | None = None, **iteration: int) -> DataFrame:
-    """All cells with ``cluster``; ``seeds`` (``cx, cy``) name cells whose rows are the first centres. The cells are written out."""
-    ship(points.sparkSession)
-    cells = materialize(fold_cells(points, grid))
-    v = power_iterate(cells, grid.reach, **iteration)
-    rows = cells.select("cx", "cy", "n").join(v, ["cx", "cy"])
-    first = None
-    if seeds is not None:
-        got = v.join(seeds.select("cx", "cy").distinct().limit(k), ["cx", "cy"]).orderBy("cx", "cy").toPandas()
-        first = np.stack(got["v"].to_numpy()).astype(np.float64) if len(got) else None
-    _, labelled = weighted_kmeans(rows, k, first)
-    return materialize(cells.join(labelled.select("cx", "cy", "cluster"), ["cx", "cy"]))
-
-
-def affinity_bounds(cells: DataFrame, reach: float, tile: int = 96) -> DataFrame:
+def affinity_bounds(cells: DataFrame, reach: float, tile: int = TILE) -> DataFrame:
     """``cx, cy, cluster, n, lower, upper``: between which bounds the internal affinities of a cell's records lie.
 
     Tiles of cells with a halo of two cells on each side, as in ``power_iterate``.
@@ -220,12 +464,12 @@ def affinity_bounds(cells: DataFrame, reach: float, tile: int = 96) -> DataFrame
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         cx, cy, cluster, n, mx, my, x1, y1, x2, y2 = (pdf[c].to_numpy() for c in names)
-        key = cx.astype(np.int64) * 10_000_003 + cy
+        key = cx.astype(np.int64) * KEY + cy
         order = np.argsort(key)
         ordered = key[order]
         low, high = np.zeros(len(key)), np.zeros(len(key))
         for dx, dy in [*NEAR, (0, 0)]:
-            want = key + dx * 10_000_003 + dy
+            want = key + dx * KEY + dy
             at = np.minimum(np.searchsorted(ordered, want), len(key) - 1)
             j = order[at]
             ok = (ordered[at] == want) & (cluster == cluster[j])
@@ -233,91 +477,34 @@ def affinity_bounds(cells: DataFrame, reach: float, tile: int = 96) -> DataFrame
             wide = np.maximum(np.abs(x1 - mx[j]), np.abs(mx[j] - x2)) ** 2 + np.maximum(np.abs(y1 - my[j]), np.abs(my[j] - y2)) ** 2
             high += np.where(ok, n[j] * np.exp(-gap / (reach * reach)), 0)
             low += np.where(ok, n[j] * np.exp(-wide / (reach * reach)), 0)
-        inner = (cx // tile == pdf["tx"].iat[0]) & (cy // tile == pdf["ty"].iat[0])
-        return pd.DataFrame({"cx": cx, "cy": cy, "cluster": cluster, "n": n, "lower": low, "upper": high})[inner]
+        return pd.DataFrame({"cx": cx, "cy": cy, "cluster": cluster, "n": n, "lower": low, "upper": high})[_inner(pdf, tile)]
 
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / tile).cast("int"), F.floor((F.col(c) + 2) / tile).cast("int")))
-    return cells.select(*names, span("cx").alias("tx")).select("*", span("cy").alias("ty")).groupBy("tx", "ty").applyInPandas(bound, out)
+    return _tiles(cells.select(*names), 2, tile).groupBy("tx", "ty").applyInPandas(bound, out)
 
 
-def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``size`` numbers the least one that the links ``a``-``b`` connect it with."""
-    root = np.arange(size)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
+def spectral_labels(cells: DataFrame, points: DataFrame, grid: CellGrid, vectors: int = 4, tolerance: float = 1e-3, most_centres: int = 1024, most_rounds: int = 40, tile: int = TILE) -> DataFrame:
+    """``cx, cy, n, w, v, gap, cluster``: the cells with their spectral cluster.
 
+    The power iteration goes on until all cells agree with those they are linked to within ``tolerance``, or until another round lessens the
+    records that don't by less than a tenth: what is left is thin ground that hangs together over long ways and has no groups.
+    """
+    linked, further = affinities(cells, points, grid, tile)
+    v, left = None, math.inf
+    for n in range(most_rounds):
+        v = power_iterate(linked, further, grid.reach, v, vectors, tile=tile, shift=n % 2 * (tile // 2))
+        still = v.filter(F.col("gap") > tolerance).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not still or still > 0.9 * left:
+            break
+        left = still
+    return labelled(v, fitted_centres(v, vectors, None, most_centres, tolerance), tolerance)
 
-def linked_groups(cells: DataFrame, points: DataFrame, grid: CellGrid, tile: int = 96) -> DataFrame:
-    """``cells`` with ``cluster`` replaced by the group: clusters are split into their linked cells, and what is linked across the
-    border of two clusters is one group.
 
-    Tiles of cells with a halo of two cells split their clusters on their own. Links across clusters and tiles are then joined on the
-    driver, which gets one row a linked pair of such pieces. Where extreme records don't link two cells whose bounding boxes are
-    within reach, all records of the two cells are tested.
-    """
-    reach = grid.reach
-    out = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("cx", "cy", "px", "py", "kind"))])
-    box = ["x1", "y1", "x2", "y2"]
+def spectral_clusters(points: DataFrame, reach: float, typical: int = 5, extent: tuple[float, float, float, float] = WORLD, **options: float) -> DataFrame:
+    """Clusters of the records ``id, x, y``: ``cluster, records, cells, typical`` (ids, most typical first).
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        cx, cy = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64)
-        cluster = pdf["cluster"].to_numpy()
-        inner = (cx // tile == pdf["tx"].iat[0]) & (cy // tile == pdf["ty"].iat[0])
-        a, b, _ = cell_links(cx, cy, np.stack(pdf["rx"].to_numpy()), np.stack(pdf["ry"].to_numpy()), reach)
-        own = inner[a] & inner[b] & (cluster[a] == cluster[b])
-        root = _roots(len(cx), a[own], b[own])
-        # all pairs of cells within two steps whose bounding boxes are near, each once
-        i, j, _ = cell_links(cx, cy, np.zeros((len(cx), 1)), np.zeros((len(cx), 1)), reach)
-        x1, y1, x2, y2 = (pdf[c].to_numpy() for c in box)
-        gx = np.maximum(0, np.maximum(x1[i] - x2[j], x1[j] - x2[i]))
-        gy = np.maximum(0, np.maximum(y1[i] - y2[j], y1[j] - y2[i]))
-        near = (gx * gx + gy * gy <= reach * reach * (1 + 1e-9)) & (root[i] != root[j]) & (inner[i] | inner[j])
-        i, j = i[near], j[near]
-        sure = np.isin(i * len(cx) + j, a * len(cx) + b)
-        at = np.flatnonzero(inner)
-        left, right = np.concatenate([at, i]), np.concatenate([root[at], j])
-        kind = np.concatenate([np.zeros(len(at)), np.where(sure, 1, 2)])
-        return pd.DataFrame({"cx": cx[left], "cy": cy[left], "px": cx[right], "py": cy[right], "kind": kind}).astype(np.int32)
-
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / tile).cast("int"), F.floor((F.col(c) + 2) / tile).cast("int")))
-    spread = cells.select("cx", "cy", "cluster", *box, "rx", "ry", span("cx").alias("tx")).select("*", span("cy").alias("ty"))
-    found = materialize(spread.groupBy("tx", "ty").applyInPandas(split, out))
-    key = lambda x, y: F.col(x).cast("long") * 10_000_003 + F.col(y)
-    pieces = found.filter("kind = 0").select("cx", "cy", key("px", "py").alias("piece"))
-    ends = pieces.withColumnsRenamed({"cx": "px", "cy": "py", "piece": "other"})
-    links = materialize(found.filter("kind > 0").distinct().join(pieces, ["cx", "cy"]).join(ends, ["px", "py"]).filter("piece <> other"))
-    pairs = links.filter("kind = 1").select("piece", "other").distinct()
-    open_pairs = links.filter("kind = 2").join(pairs, ["piece", "other"], "left_anti")
-    asked = open_pairs.select("cx", "cy", "px", "py", "piece", "other")
-    xy = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *grid.columns())
-    mine = asked.join(xy, ["cx", "cy"])
-    theirs = xy.withColumnsRenamed({"cx": "px", "cy": "py", "x": "u", "y": "v"})
-    met = mine.join(theirs, ["px", "py"]).filter((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 <= reach * reach).select("piece", "other").distinct()
-    joined = pairs.unionByName(met).toPandas()
-    names, ends_at = np.unique(joined.to_numpy(np.int64).ravel(), return_inverse=True)
-    ends_at = ends_at.reshape(-1, 2)
-    root = names[_roots(len(names), ends_at[:, 0], ends_at[:, 1])] if len(names) else names
-    spark = cells.sparkSession
-    table = spark.createDataFrame(pd.DataFrame({"piece": names, "group": root}), "piece long, group long")
-    groups = pieces.join(F.broadcast(table) if len(names) <= BROADCAST_CELLS else table, "piece", "left").select("cx", "cy", F.coalesce("group", "piece").alias("cluster"))
-    return materialize(cells.drop("cluster").join(groups, ["cx", "cy"]))
-
-
-def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5, extent: tuple[float, float, float, float] = WORLD, **iteration: int) -> DataFrame:
-    """Groups of the records ``id, x, y``: ``cluster, records, cells, typical`` (ids, most typical first).
-
-    The iteration is not carried on until the vectors settle; an exact step splits its ``k`` clusters into linked groups and joins
-    what a border of two clusters cut, so each group is whole and apart from all others (settled vectors are constant on it).
+    The clusters are those of ``spectral_labels`` (which takes the ``options``), each divided into the parts that its own links hold together: what
+    came into a cluster by chance is a cluster of its own. A settled group is one point of the embedding, so it is never divided and
+    never shares a cluster with what it isn't linked to; thin ground that doesn't settle is divided where the embedding is.
 
     A record's internal affinity is the sum of ``exp(-d² / reach²)`` over the nearby cells of its own cluster, times their record
     counts; the ``typical`` records of highest affinity are named, equal ones by smaller id. Cells whose upper bound stays below
@@ -328,7 +515,9 @@ def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5,
     """
     grid = CellGrid(reach, extent)
     points = materialize(_placed(points, extent).groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
-    cells = linked_groups(spectral_cells(points, grid, k, **iteration), points, grid)
+    cells = materialize(fold_cells(points, grid))
+    parts = trimmed(spectral_labels(cells, points, grid, **options), grid)
+    cells = materialize(cells.join(parts.select("cx", "cy", F.col("part").alias("cluster")), ["cx", "cy"]))
     bounds = materialize(affinity_bounds(cells, reach))
     sure = bounds.filter(F.col("n") >= typical).groupBy("cluster").agg(F.max("lower").alias("floor"))
     survivors = bounds.join(sure, "cluster", "left").filter(F.col("upper") >= F.coalesce("floor", F.lit(0.0)) * (1 - 1e-9)).select("cx", "cy", "cluster")
@@ -347,89 +536,41 @@ def spectral_clusters(points: DataFrame, reach: float, k: int, typical: int = 5,
     return sizes.join(counts, "cluster").join(best, "cluster", "left")
 
 
-def _near(d: list[Column], reach: float) -> Column:
-    """Least squared distance of two bounding boxes is within reach."""
-    x1, y1, x2, y2, u1, v1, u2, v2 = d
-    dx, dy = F.greatest(x1 - u2, u1 - x2, F.lit(0.0)), F.greatest(y1 - v2, v1 - y2, F.lit(0.0))
-    return dx * dx + dy * dy <= reach * reach * (1 + 1e-9)
-
-
-def anchored_groups(points: DataFrame, anchors: DataFrame, reach: float, extra: int = 72, extent: tuple[float, float, float, float] = WORLD, **iteration: int) -> DataFrame:
+def anchored_groups(
+    points: DataFrame, anchors: DataFrame, reach: float, extent: tuple[float, float, float, float] = WORLD, vectors: int = 4, tolerance: float = 1e-3,
+    most_centres: int = 1024, most_rounds: int = 200, tile: int = TILE, labels: Callable[[DataFrame, np.ndarray, float], DataFrame] = labelled,
+) -> DataFrame:
     """``anchor_id, id``: the records that an anchor reaches by steps of at most ``reach``.
 
-    The clusters come from the spectral embedding, with the anchors' cells among the first centres of the k-means. An exact check
-    follows: within its cluster an anchor keeps what is linked to it, and each kept cell is tested against its neighbours outside
-    until no link leads out. The test goes by extreme records first and by all records of the two cells where those don't link.
+    They are the members of the anchor's spectral cluster; an exact check inside the cluster leaves out what its own links don't
+    connect with the anchor. As long as one of the members is linked to a cell outside the cluster, the vectors haven't settled there
+    and the power iteration goes on; after ``most_rounds`` it gives up with an error rather than return part of a group. ``labels``
+    may put another clustering of the embedding in place of the nearest centre.
 
     Records and anchors with a NULL id or a missing, NaN, infinite or outlying coordinate are left out; repeated rows count once;
     an anchor without a record within reach gives no rows, as do empty tables; other columns are ignored. An anchor stands as a place
     of its own in its cell. The k-means has a centre for each anchor, so anchors should number in the thousands at most.
     """
-    spark = ship(points.sparkSession)
+    ship(points.sparkSession)
     grid = CellGrid(reach, extent)
     points = _placed(points, extent)
     anchors = materialize(_placed(anchors.withColumnRenamed("anchor_id", "id"), extent).distinct().select(F.col("id").alias("anchor_id"), "x", "y", *grid.columns()))
-    n_anchors = anchors.count()
     places = points.select("x", "y").unionByName(anchors.select("x", "y"))
-    cells = spectral_cells(places, grid, n_anchors + extra, anchors, **iteration)
+    cells = materialize(fold_cells(places, grid).drop("mx", "my"))
+    linked, further = affinities(cells, places, grid, tile)
     starts = anchors.select("anchor_id", "cx", "cy")
-    clusters = cells.join(F.broadcast(starts) if n_anchors <= BROADCAST_CELLS else starts, ["cx", "cy"]).groupBy("cluster", "cx", "cy").agg(F.collect_set("anchor_id").alias("anchors"))
-    wanted = cells.join(clusters.select("cluster").distinct(), "cluster").join(clusters.drop("cluster"), ["cx", "cy"], "left")
-    out = T.StructType([starts.schema["anchor_id"], starts.schema["cx"], starts.schema["cy"]])
-
-    def connected(pdf: pd.DataFrame) -> pd.DataFrame:
-        cx, cy = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64)
-        a, b, _ = cell_links(cx, cy, np.stack(pdf["rx"].to_numpy()), np.stack(pdf["ry"].to_numpy()), reach)
-        root = np.arange(len(cx))
-        while len(a):
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        rows = []
-        for i, own in enumerate(pdf["anchors"]):
-            if own is not None:
-                same = np.flatnonzero(root == root[i])
-                rows += [pd.DataFrame({"anchor_id": n, "cx": cx[same].astype(np.int32), "cy": cy[same].astype(np.int32)}) for n in own]
-        return pd.concat(rows).drop_duplicates() if rows else pd.DataFrame({"anchor_id": [], "cx": [], "cy": []}).astype({"anchor_id": "int64", "cx": "int32", "cy": "int32"})
-
-    kept = materialize(wanted.groupBy("cluster").applyInPandas(connected, out).distinct())
-    box = ["x1", "y1", "x2", "y2"]
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEAR))).alias("o")
-    other = cells.select(F.col("cx").alias("px"), F.col("cy").alias("py"), *(F.col(c).alias(f"p{c}") for c in [*box, "rx", "ry"]))
-    all_points = places.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *grid.columns())
-    frontier, parts, rows = kept, [kept], kept.count()
-    while True:
-        own = frontier.join(cells.select("cx", "cy", *box, "rx", "ry"), ["cx", "cy"])
-        beside = own.select("*", offsets).withColumn("px", F.col("cx") + F.col("o.a")).withColumn("py", F.col("cy") + F.col("o.b")).drop("o")
-        inside = kept.select("anchor_id", F.col("cx").alias("px"), F.col("cy").alias("py"))
-        open_pairs = beside.join(inside, ["anchor_id", "px", "py"], "left_anti").join(other, ["px", "py"])
-        open_pairs = open_pairs.filter(_near([F.col(c) for c in [*box, *(f"p{c}" for c in box)]], reach))
-        d2 = lambda i: F.least(*((F.get("rx", F.lit(i)) - F.get("prx", F.lit(j))) ** 2 + (F.get("ry", F.lit(i)) - F.get("pry", F.lit(j))) ** 2 for j in range(8)))
-        open_pairs = materialize(open_pairs.withColumn("linked", reduce(lambda a, b: a | b, (d2(i) <= reach * reach for i in range(8)))).drop("rx", "ry", "prx", "pry"))
-        sure = open_pairs.filter("linked").select("anchor_id", F.col("px").alias("cx"), F.col("py").alias("cy")).distinct()
-        # the rest: all records of both cells that are near enough to the other's bounding box
-        asked = open_pairs.filter("NOT linked").select("cx", "cy", *box, "px", "py", *(f"p{c}" for c in box)).distinct()
-        size = asked.count()
-        new = sure
-        if size:
-            few = lambda df: F.broadcast(df) if size <= BROADCAST_CELLS else df
-            xy = [F.col("x"), F.col("y")]
-            mine = all_points.join(few(asked), ["cx", "cy"]).filter(_near([*xy, *xy, *(F.col(f"p{c}") for c in box)], reach)).select("cx", "cy", "px", "py", "x", "y").distinct()
-            theirs = all_points.withColumnsRenamed({"cx": "px", "cy": "py"}).join(few(asked), ["px", "py"]).filter(_near([*xy, *xy, *(F.col(c) for c in box)], reach)).select("cx", "cy", "px", "py", F.col("x").alias("u"), F.col("y").alias("v")).distinct()
-            on = [mine[c] == theirs[c] for c in ("cx", "cy", "px", "py")]
-            close = (mine["x"] - theirs["u"]) * (mine["x"] - theirs["u"]) + (mine["y"] - theirs["v"]) * (mine["y"] - theirs["v"]) <= reach * reach
-            met = mine.join(theirs, [*on, close], "left_semi").select("cx", "cy", "px", "py").distinct()
-            new = sure.unionByName(open_pairs.join(met, ["cx", "cy", "px", "py"], "left_semi").select("anchor_id", F.col("px").alias("cx"), F.col("py").alias("cy"))).distinct()
-        frontier = materialize(new)
-        fresh = frontier.count()
-        if not fresh:
-            break
-        rows += fresh
-        parts.append(frontier)
-        kept = reduce(DataFrame.unionByName, parts)
-    return _with_cells(points, kept, grid, rows).select("anchor_id", "id").distinct()
+    v = None
+    for n in range(most_rounds):
+        v = power_iterate(linked, further, reach, v, vectors, tile=tile, shift=n % 2 * (tile // 2))
+        seeds = v.join(starts.select("cx", "cy").distinct(), ["cx", "cy"]).orderBy("cx", "cy").select("v").toPandas()
+        if not len(seeds):
+            return anchors.select("anchor_id").join(points.select("id").limit(0), F.lit(True))
+        centres = fitted_centres(v, vectors, _unpack(seeds["v"], vectors), most_centres, tolerance)
+        own = labels(v.join(starts.select("cx", "cy").distinct(), ["cx", "cy"]), centres, tolerance).select("cluster").distinct()
+        parts = trimmed(labels(v, centres, tolerance).join(own, "cluster"), grid, tile)
+        mine = parts.join(starts, ["cx", "cy"]).select("anchor_id", "part").distinct()
+        kept = materialize(parts.join(mine, "part").select("anchor_id", "cx", "cy", "leak"))
+        size, leaks = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("leak").cast("int")), F.lit(0))).first()
+        if not leaks:
+            return _with_cells(points, kept.drop("leak"), grid, size).select("anchor_id", "id").distinct()
+    raise RuntimeError(f"the vectors have not settled around the anchors after {most_rounds} rounds")
