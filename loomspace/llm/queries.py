@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspace.functions.wkt import placed, with_geometry
@@ -29,6 +29,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors(places, _placed_points(spark, folder), "qid", "id", ["x", "y"], 5, rows=rows).select("qid", "id")
 
 
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The three other records most similar to each record whose id is divisible by 20, out of all records."""
+    rows = _placed_points(spark, folder)
+    near = nearest_vectors(rows.filter("id % 20 = 0").withColumnRenamed("id", "qid"), rows, "qid", "id", ["x", "y"], 4)
+    return near.filter("qid <> id").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("rank <= 3").select("qid", "id", "rank")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three entries of highest value at each location."""
     found = with_geometry(table(spark, folder, "entries").select("entry_id", "geom", "value").filter("value IS NOT NULL AND NOT isnan(value)"), "geom")

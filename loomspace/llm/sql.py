@@ -25,6 +25,11 @@ SELECT anchor_id, id FROM r""",
     + (CAST(q.y AS DOUBLE) - CAST(p.y AS DOUBLE)) * (CAST(q.y AS DOUBLE) - CAST(p.y AS DOUBLE)) AS d2 FROM q, p
 )
 SELECT qid, id FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, id) <= 5""",
+    "p3_neighbours": f"""WITH p AS ({PLACED}), d AS (
+  SELECT q.id AS qid, p.id, (CAST(q.x AS DOUBLE) - CAST(p.x AS DOUBLE)) * (CAST(q.x AS DOUBLE) - CAST(p.x AS DOUBLE))
+    + (CAST(q.y AS DOUBLE) - CAST(p.y AS DOUBLE)) * (CAST(q.y AS DOUBLE) - CAST(p.y AS DOUBLE)) AS d2 FROM p AS q JOIN p ON q.id % 20 = 0
+), r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS n FROM d QUALIFY n <= 4)
+SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY n) AS INTEGER) AS rank FROM r WHERE qid <> id QUALIFY rank <= 3""",
     "p5_found": f"""WITH {GEO}
 SELECT id AS entry_id FROM geo WHERE value IS NOT NULL AND NOT isnan(value)
 QUALIFY row_number() OVER (PARTITION BY x1, y1, x2, y2 ORDER BY value DESC, id) <= 3""",

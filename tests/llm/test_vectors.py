@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomspace.llm.rpforest import fit_forest, nearest_vectors
-from loomspace.llm.spectral import CellGrid, _start, anchored_groups, cell_links, fold_cells, power_iterate, spectral_clusters
+from loomspace.llm.rpforest import Groups, fit_forest, nearest_vectors
+from loomspace.llm.spectral import CellGrid, _start, _unpack, affinities, anchored_groups, cell_links, exact_links, fitted_centres, fold_cells, labelled, power_iterate, spectral_clusters, spectral_labels, trimmed
 from loomspace.llm.topn import top_n_per_group
 
 # top N --------------------------------------------------------------------------------------------------------------
@@ -78,11 +79,44 @@ def test_forest_search_visits_nearest_leaf_first():
     v = rng.normal(size=(2000, 3))
     forest = fit_forest(v, 2000, trees=2, leaf_size=100)
     leaves = forest.file(v)
-    for i in range(0, 2000, 100):
-        seen = forest.search(v[i], 6)
-        assert len(set(seen)) == 6 and (0, leaves[i, 0]) in seen and (1, leaves[i, 1]) in seen
+    some = np.arange(0, 2000, 100)
+    row, tree, leaf = forest.search(v[some], 6)
+    near, at = forest.within(v[some], np.full(len(some), 0.2))
+    for n, i in enumerate(some):
+        seen = list(zip(tree[row == n].tolist(), leaf[row == n].tolist(), strict=True))
+        assert len(set(seen)) == len(seen) == 6 and (0, leaves[i, 0]) in seen and (1, leaves[i, 1]) in seen
         close = {int(leaves[j, 0]) for j in np.flatnonzero(((v - v[i]) ** 2).sum(axis=1) <= 0.04)}
-        assert close <= set(forest.within(v[i], 0.2))
+        assert close <= set(at[near == n].tolist())
+    row, tree, leaf = forest.search(v[:3], 1000)  # more visits than leaves: each leaf once
+    assert all(len(set(zip(tree[row == n], leaf[row == n], strict=True))) == (row == n).sum() == 2 * forest.leaves for n in range(3))
+
+
+def test_groups_are_bounded_and_meet_once():
+    """However full a leaf is and however many queries visit it, a group stays small, and each query meets each row of its leaf once."""
+    rng = np.random.default_rng(6)
+    held, asked = rng.integers(0, 30, (2, 64)), rng.integers(0, 5, (2, 64))
+    held[0, 7], asked[0, 7], asked[1, 9], held[1, 20] = 5000, 900, 4000, 0
+    groups = Groups(held, asked, 100)
+    tree, leaf = (np.repeat(a.ravel(), held.ravel()) for a in np.indices(held.shape))
+    q_tree, q_leaf = (np.repeat(a.ravel(), asked.ravel()) for a in np.indices(held.shape))
+    row, g = groups.data(tree, leaf, rng.integers(0, 1 << 31, len(tree)))
+    q_row, q_g = groups.queries(q_tree, q_leaf, rng.integers(0, 1 << 31, len(q_tree)))
+    assert np.bincount(g).max() <= 350 and np.bincount(q_g).max() <= 350
+    met = {}
+    for r, group in zip(row.tolist(), g.tolist(), strict=True):
+        met.setdefault(group, []).append(r)
+    seen = [(q, r) for q, group in zip(q_row.tolist(), q_g.tolist(), strict=True) for r in met.get(group, []) if (tree[r], leaf[r]) == (q_tree[q], q_leaf[q])]
+    assert len(seen) == len(set(seen)) == int((held * asked).sum())
+
+
+def test_a_popular_and_crowded_place(spark):
+    """A third of the data in one leaf and most queries at it, with groups far smaller than the leaf."""
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(400, 2)) * 50, rng.normal(size=(300, 2)) * 0.001])
+    data = [(i, float(x), float(y)) for i, (x, y) in enumerate(v)]
+    queries = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(150, 2)) * 0.001)] + [(900, 40.0, 40.0)]
+    got = nearest_vectors(spark.createDataFrame(queries, "qid long, x double, y double"), spark.createDataFrame(data, "id long, x double, y double"), "qid", "id", ["x", "y"], 5, leaf_size=16, max_depth=2, group_rows=40)
+    assert {tuple(r) for r in got.select("qid", "id").collect()} == _brute(queries, data, 5)
 
 
 # clusters -----------------------------------------------------------------------------------------------------------
@@ -113,8 +147,8 @@ def test_anchored_groups_equal_brute_force(spark):
     anchors = [(1, 13.0, 10.0), (2, -27.0, 0.0), (3, 40.0, -20.0), (4, 0.0, 89.0), (5, None, 0.0), (3, 40.0, -20.0)]
     dirty = [*rows, *rows[:40], (9001, None, 1.0), (None, 10.0, 10.0), (9002, math.nan, 0.0), (9003, 500.0, 0.0)]
     p = spark.createDataFrame(dirty, "id long, x float, y float").withColumn("cluster", F.lit("x")).withColumn("n", F.lit("x")).withColumn("cx", F.lit("x"))
-    a = spark.createDataFrame(anchors, "anchor_id long, x float, y float").withColumn("id", F.lit("x")) if False else spark.createDataFrame(anchors, "anchor_id long, x float, y float")
-    got = [tuple(r) for r in anchored_groups(p, a, 0.85, extra=12).collect()]
+    a = spark.createDataFrame(anchors, "anchor_id long, x float, y float")
+    got = [tuple(r) for r in anchored_groups(p, a, 0.85).collect()]
     want = {(n, int(i)) for n, x, y in anchors if x is not None for i in np.flatnonzero(_reached(xy, np.float32([x, y]).astype(np.float64), 0.85))}
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -126,26 +160,123 @@ def test_groups_of_empty_tables(spark):
     assert anchored_groups(p, a, 0.85).count() == 0
     assert anchored_groups(one, a.limit(0), 0.85).count() == 0
     assert [tuple(r) for r in anchored_groups(one, a, 0.85).collect()] == [(1, 7)]
-    assert spectral_clusters(p, 0.85, 4).count() == 0
+    assert spectral_clusters(p, 0.85).count() == 0
 
 
-def test_tiles_don_t_change_the_iteration(spark):
+def _settled(spark, points, grid, rounds=1, **options):
+    cells = fold_cells(points, grid).persist()
+    linked, further = affinities(cells, points, grid, options.get("tile", 96))
+    v = None
+    for n in range(rounds):
+        v = power_iterate(linked, further, grid.reach, v, shift=n % 2 * (options.get("tile", 96) // 2), **options)
+    return cells, v
+
+
+def test_tiles_don_t_change_the_settled_vectors(spark):
     xy = _rings(np.random.default_rng(9))
     grid = CellGrid(0.85)
-    cells = fold_cells(spark.createDataFrame([(float(x), float(y)) for x, y in xy], "x float, y float"), grid).persist()
-    wide = {(r["cx"], r["cy"]): r["v"] for r in power_iterate(cells, 0.85, vectors=4, steps=3, rounds=2, tile=100_000).collect()}
-    small = {(r["cx"], r["cy"]): r["v"] for r in power_iterate(cells, 0.85, vectors=4, steps=3, rounds=2, tile=7).collect()}
-    assert wide.keys() == small.keys() and all(np.allclose(wide[c], small[c], atol=1e-5) for c in wide)
-    # against a dense matrix
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in xy], "x float, y float")
+    cells, wide = _settled(spark, df, grid, steps=400)
+    _, small = _settled(spark, df, grid, rounds=6, steps=200, halo=6, tile=9)
+    wide = {(r["cx"], r["cy"]): np.frombuffer(r["v"], np.float32) for r in wide.collect()}
+    small = {(r["cx"], r["cy"]): (np.frombuffer(r["v"], np.float32), r["gap"]) for r in small.collect()}
+    # the same cells agree, whatever the tiles; a group cut by tiles settles at a value of its own
     pdf = cells.toPandas()
     cx, cy = pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64)
     a, b, d2 = cell_links(cx, cy, np.stack(pdf["rx"]), np.stack(pdf["ry"]), 0.85)
+    assert wide.keys() == small.keys() and max(g for _, g in small.values()) < 1e-3
+    at = list(zip(cx.tolist(), cy.tolist(), strict=True))
+    assert all(np.allclose(small[at[i]][0], small[at[j]][0], atol=1e-3) for i, j in zip(a, b, strict=True))
+    # against powers of a dense matrix
     m = np.eye(len(pdf))
     m[a, b] = m[b, a] = np.exp(-d2 / 0.85**2)
-    v = _start(cx, cy, 4)
-    for _ in range(6):
-        v = (m / m.sum(axis=1, keepdims=True)) @ v
-    assert all(np.allclose(wide[x, y], v[i], atol=1e-4) for i, (x, y) in enumerate(zip(cx, cy, strict=True)))
+    m /= m.sum(axis=1, keepdims=True)
+    for _ in range(14):
+        m = m @ m
+    v = m @ _start(cx, cy, 4)
+    assert all(np.allclose(wide[c], v[i], atol=1e-3) for i, c in enumerate(at))
+
+
+def test_all_records_are_asked_where_extremes_don_t_link(spark):
+    """Two combs that mesh: their nearest records are none of the extreme ones."""
+    rng = np.random.default_rng(5)
+    grid = CellGrid(1.0, (0.0, 0.0, 20.0, 20.0))
+    for gap in (0.999, 1.001):
+        a = [(x, y) for x, y in rng.uniform([0.02, 0.02], [0.2, 0.68], (300, 2))] + [(0.3, 0.35), (0.02, 0.0), (0.02, 0.7)]
+        b = [(1.45 + x, y) for x, y in rng.uniform(0.0, [0.2, 0.7], (300, 2))] + [(0.3 + gap, 0.35)]
+        xy = np.array(a + b)
+        df = spark.createDataFrame([(float(x), float(y)) for x, y in xy], "x double, y double")
+        cells = fold_cells(df, grid)
+        linked, further = affinities(cells, df, grid)
+        got = {tuple(r)[:4]: r["d2"] for r in further.collect()}
+        c = np.floor(xy / grid.side).astype(int)
+        near = {}
+        for i in range(len(a)):
+            for j in range(len(a), len(xy)):
+                d2 = (xy[i, 0] - xy[j, 0]) ** 2 + (xy[i, 1] - xy[j, 1]) ** 2
+                k = (*c[i].tolist(), *c[j].tolist())
+                near[k] = min(near.get(k, 9.0), d2)
+        for k, d2 in got.items():
+            assert math.isclose(near.get(k, near.get((*k[2:], *k[:2]))), d2)
+        groups = spectral_clusters(df.withColumn("id", F.monotonically_increasing_id()), 1.0, extent=(0.0, 0.0, 20.0, 20.0)).count()
+        assert groups == (1 if gap < 1 else 2)
+
+
+def test_exact_links_of_nothing(spark):
+    grid = CellGrid(0.85)
+    df = spark.createDataFrame([(0.0, 0.0)], "x double, y double")
+    _, further = affinities(fold_cells(df, grid), df, grid)
+    assert further.count() == 0
+    assert exact_links(spark.createDataFrame([], "cx int, cy int, px int, py int, x1 double, y1 double, x2 double, y2 double, px1 double, py1 double, px2 double, py2 double"), df, grid).count() == 0
+
+
+def test_labels_decide_the_groups(spark):
+    """A hash in place of the spectral labels must not give the groups; nor may linkage alone leave a settled group in two."""
+    xy = _rings(np.random.default_rng(8))
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x float, y float")
+    a = spark.createDataFrame([(1, 13.0, 10.0), (2, -27.0, 0.0), (3, 40.0, -20.0)], "anchor_id long, x float, y float")
+    with pytest.raises(RuntimeError):
+        anchored_groups(p, a, 0.85, most_rounds=2, labels=lambda v, centres, tolerance: v.withColumn("cluster", F.pmod(F.xxhash64("cx", "cy"), F.lit(1 << 30)).cast("int")))
+
+
+def test_clusters_are_pure_and_whole_before_the_trim(spark):
+    xy = _rings(np.random.default_rng(8))
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    grid = CellGrid(0.85)
+    cells = fold_cells(df, grid)
+    got = spectral_labels(cells, df, grid).toPandas()
+    of = dict(zip(zip(got["cx"], got["cy"], strict=True), got["cluster"], strict=True))
+    size = got.groupby("cluster")["n"].sum()
+    for start in ((13.0, 10.0), (-27.0, 0.0), (40.0, -20.0)):
+        own = np.flatnonzero(_reached(xy, np.array(start), 0.85))
+        c = np.floor((xy[own] + [180, 90]) / grid.side).astype(int)
+        names = {of[tuple(r)] for r in c.tolist()}
+        assert len(names) == 1 and len(own) / size[names.pop()] >= 0.95
+
+
+def test_parts_are_joined_across_tiles(spark):
+    """A snake of cells through many tiles is one part; a second cluster beside it another."""
+    xy = [(0.5 * i, 20.0) for i in range(200)] + [(0.5 * i, 40.0) for i in range(200)] + [(99.5, 20.0 + 0.5 * i) for i in range(41)]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    grid = CellGrid(0.85)
+    cells = fold_cells(df, grid)
+    linked, _ = affinities(cells, df, grid)
+    rows = linked.withColumn("cluster", F.when(F.col("cx") < 350, F.lit(1)).otherwise(F.lit(2)))
+    got = trimmed(rows, grid, tile=4).toPandas()
+    assert got["part"].nunique() == 3 and got.groupby("part")["cluster"].nunique().max() == 1
+    one = trimmed(linked.withColumn("cluster", F.lit(0)), grid, tile=4)
+    assert one.select("part").distinct().count() == 1 and one.filter("leak").count() == 0
+    assert got.loc[got["leak"], "cx"].between(347, 352).all()
+
+
+def test_centres_lie_on_settled_groups(spark):
+    df = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(90)], "id long, x double, y double").withColumn("x", F.col("x") * 30)
+    grid = CellGrid(0.85)
+    _, v = _settled(spark, df, grid)
+    centres = fitted_centres(v, 4)
+    assert len(centres) == 3 and labelled(v, centres).filter("cluster % 2 = 0").select("cluster").distinct().count() == 3
+    assert len(fitted_centres(v.limit(0), 4)) == 0
+    assert all(len(_unpack(b, 4)) for b in [v.toPandas()["v"]])
 
 
 def test_spectral_clusters_find_the_groups(spark):
@@ -153,7 +284,7 @@ def test_spectral_clusters_find_the_groups(spark):
     xy = np.concatenate([rng.normal(0, 0.4, (n, 2)) + c for n, c in ((300, (0, 0)), (200, (20, 20)), (120, (-40, 10)), (80, (60, -50)))])
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
     df = spark.createDataFrame([*rows, *rows[:30]], "id long, x float, y float")
-    got = sorted(spectral_clusters(df, 0.85, 4).collect(), key=lambda r: -r["records"])
+    got = sorted(spectral_clusters(df, 0.85).collect(), key=lambda r: -r["records"])
     assert sum(r["records"] for r in got) == len(rows) and [r["records"] for r in got] == [300, 200, 120, 80]
     for r, centre in zip(got, ((0, 0), (20, 20), (-40, 10), (60, -50)), strict=True):
         assert len(r["typical"]) == 5
@@ -170,6 +301,6 @@ def test_clusters_are_linked_groups_on_thin_ground(spark):
         want.append(len(own))
         left -= own
     df = spark.createDataFrame(rows, "id long, x double, y double")
-    got = spectral_clusters(df, 0.85, 3).collect()
+    got = spectral_clusters(df, 0.85).collect()
     assert sorted(r["records"] for r in got) == sorted(want)
     assert all(len(r["typical"]) == min(5, r["records"]) for r in got)
