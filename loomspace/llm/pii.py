@@ -8,10 +8,13 @@ likelihood, and decoded by Viterbi over batches of lines in NumPy. A span then h
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -20,51 +23,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspace.llm.pii_examples import labelled_lines
+from loomspace.llm.packing import vocabulary_folder
 from loomspace.plans.runtime import ship
 
 KINDS = ("email", "phone", "idnum", "street", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+ABBREVIATED = ("st", "rd", "ave", "blvd", "str", "sq", "pl", "dr", "ln", "ct")
+ENDINGS = ("weg", "aße", "sse", "tr", "lee", "atz")
+VOCABULARY = f"{vocabulary_folder()}/word_bpe_49k.json"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]", "street": "[STREET]", "name": "[NAME]"}
-SEVEN_DIGITS = re.compile(r"(?:\d\D{0,3}){7}")
-CAPITALISED = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]")
-DIGIT = re.compile(r"\d")
-SPELLED_AT = re.compile(r"\bat\b", re.I)
+TWO_WORDS = re.compile(r"[\w'’.,-] [^\W\d_]")
+SIX_DIGITS = re.compile(r"(?:\d[^\w\n]{0,2}){5}\d")
+LETTER, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 #: Plain forms. Lengths are bounded (a word of a name by 60 letters, an address by the mail standard), which keeps the search linear.
 FORMS = {
-    "email": re.compile(r"[\w.+-]{1,64}(?:@| ?[\[(]at[\])] ?| at )[\w-]{1,63}(?:(?:\.| dot )[\w-]{1,63}){1,8}", re.I),
-    "phone": re.compile(r"(?<![\w+])\+?\(?\d(?:[ ()./-]{0,2}\d){6,14}(?!\w)"),
-    "idnum": re.compile(r"(?<!\w)(?:[A-Z]{1,2} ?)?\d(?:[ -]?\d){5,12}(?: ?[A-Z])?(?![\w-])"),
-    "street": re.compile(r"\d{1,5}[a-z]?(?: [^\W\d_][\w'’-]{0,60}\.?){1,5}|[^\W\d_][\w'’-]{0,60}\.?(?: [\w'’-]{1,60}\.?){0,4},? \d{1,5}[a-z]?"),
+    "email": re.compile(r"[\w.+-]{1,64}(?:@| ?[\[(]at[\])] ?| at )[\w-]{1,63}(?:(?:\.| dot )[\w-]{1,63}){0,7}(?:\.| dot )[^\W\d_]{2,63}(?![\w-])", re.I),
+    "phone": re.compile(r"(?<![\w+])\+?\(?\d(?:[ ()./-]{0,2}\d){6,14}(?!\w|\.\.)"),
+    "idnum": re.compile(r"(?<!\w)(?:[A-Z]{1,2} ?)?\d(?:[ -]?\d){5,12}(?: ?[A-Z])?(?![\w-]|\.\.)"),
+    "street": re.compile(r"(?<!\w)(?:\d{1,5}[a-z]?(?: [^\W\d_](?:[\w'’-]{0,60}\w)?\.?){1,5}|[^\W\d_](?:[\w'’-]{0,60}\w)?\.?(?: \w(?:[\w'’-]{0,60}\w)?\.?){0,4},? \d{1,5}[a-z]?)(?!\w)"),
     "name": re.compile(r"(?:[^\W\d_][\w'’-]{0,60}\.?,? ){1,4}[^\W\d_][\w'’-]{0,60}"),
 }
 
 
 def may_hold(line: str) -> bool:
-    """Whether the line has what every form below needs: an at-sign in some spelling, seven digits, or a word with a capital
-    at its start together with a digit or another such word."""
-    if "@" in line:
-        return True
-    low = line.lower()
-    if low != line and (first := CAPITALISED.search(line)) and (DIGIT.search(line) or CAPITALISED.search(line, first.end())):
-        return True
-    return ("at" in low and SPELLED_AT.search(low) is not None) or SEVEN_DIGITS.search(line) is not None
+    """A necessary condition of all forms: an at-sign, two words with a blank between them (also of a spelled-out address), a digit and a letter
+    (street), or six digits with little between them (phone, personal number). Lines without any of it can't hold a value."""
+    return "@" in line or TWO_WORDS.search(line) is not None or (DIGIT.search(line) is not None and (LETTER.search(line) is not None or SIX_DIGITS.search(line) is not None)) or "at" in line.lower()
 
 
-def shape_features(token: str, given: frozenset[str], words: frozenset[str]) -> list[str]:
+class NameList:
+    """Known given names as sorted 64-bit hashes: eight bytes a name, however long the list."""
+
+    def __init__(self, names: Iterable[str]):
+        self.hashes = np.unique(np.fromiter((self.hash(n.lower()) for n in names), np.uint64))
+
+    @staticmethod
+    def hash(name: str) -> int:
+        return int.from_bytes(blake2b(name.encode(), digest_size=8).digest(), "big")
+
+    def __contains__(self, low: str) -> bool:
+        if not len(self.hashes):
+            return False
+        h = np.uint64(self.hash(low))
+        at = int(np.searchsorted(self.hashes, h))
+        return at < len(self.hashes) and self.hashes[at] == h
+
+
+def shape_features(token: str, given: NameList, words: frozenset[str], common: frozenset[str] = frozenset()) -> list[str]:
     """Features of a token's own spelling."""
     low = token.lower()
     if token.isdigit():
-        return ["digits", f"digits{min(len(token), 8)}", f"first{token[0]}", f"known:{token}" if token in words else "rare digits"]
+        return ["digits", f"digits{min(len(token), 14)}", f"first{token[0]}", f"known:{token}" if token in words else "rare digits"]
     if not token[0].isalpha():
         return [f"mark:{token}"]
     case = "lower" if token == low else "upper" if token == token.upper() else "capital" if token[0].isupper() and token[1:] == low[1:] else "mixed"
     if len(token) == 1:
         case = f"one {case}"
-    out = [case, f"{case} length{min(len(token), 6)}", f"end:{low[-3:]}" if low[-3:] in words or low[-3:] in ("weg", "aße", "sse", "tr", "lee") else "end", f"word:{low}" if low in words else f"rare {case}"]
+    out = [case, f"{case} length{min(len(token), 6)}", f"end:{low[-3:]}" if low[-3:] in words or low[-3:] in ENDINGS else "end", f"word:{low}" if low in words else f"rare {case}"]
     if low in given:
         out.append(f"given {case}")
+    if low in common:
+        out.append(f"common {case}")
     return out
 
 
@@ -74,7 +95,8 @@ class Tagger:
 
     features: dict[str, int]
     words: frozenset[str]
-    given: frozenset[str]
+    given: NameList
+    common: frozenset[str]
     unary: np.ndarray
     chain: np.ndarray
     memo: dict[str, int] = field(default_factory=dict)
@@ -86,7 +108,7 @@ class Tagger:
 
     def row(self, token: str) -> int:
         """Row of the token's scores in ``table``; tokens with the same features share it."""
-        key = tuple(self.features[f] for f in shape_features(token, self.given, self.words) if f in self.features)
+        key = tuple(self.features[f] for f in shape_features(token, self.given, self.words, self.common) if f in self.features)
         n = self.rows.get(key)
         if n is None:
             n = self.rows[key] = len(self.rows) + 1
@@ -181,9 +203,8 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, str]]]], given_names: list[str], epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, seed: int = 2) -> Tagger:
+def train(examples: list[tuple[str, list[tuple[int, int, str]]]], given: NameList, common: frozenset[str] = frozenset(), epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, seed: int = 2) -> Tagger:
     """Fit the field to labelled lines (Adam on the negative conditional log-likelihood, with weight decay)."""
-    given = frozenset(g.lower() for g in given_names)
     tokenised = [[(m.group(), m.span()) for m in TOKEN.finditer(t)] for t, _ in examples]
     count: dict[str, int] = {}
     for (_, spans), toks in zip(examples, tokenised, strict=True):
@@ -194,7 +215,7 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], given_names: l
     index: dict[str, int] = {"<edge>": 0}
     rows, gold = [], []
     for (_, spans), toks in zip(examples, tokenised, strict=True):
-        rows.append([[index.setdefault(f, len(index)) for f in shape_features(t, given, words)] for t, _ in toks])
+        rows.append([[index.setdefault(f, len(index)) for f in shape_features(t, given, words, common)] for t, _ in toks])
         y = np.zeros(len(toks), np.int64)
         for s, e, k in spans:
             inside = [i for i, (_, (a, b)) in enumerate(toks) if s <= a and b <= e]
@@ -254,13 +275,39 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], given_names: l
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= slower * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Tagger(index, words, given, unary.astype(np.float32), chain)
+    return Tagger(index, words, given, common, unary.astype(np.float32), chain)
+
+
+@lru_cache(maxsize=4)
+def common_words(path: str) -> frozenset[str]:
+    """The whole words of a public vocabulary file with word ends: what is in there is rarely a surname. Empty if there is no such file."""
+    if not os.path.exists(path):
+        return frozenset()
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return frozenset(t[:-4] for t in vocabulary if t.endswith("</w>") and len(t) > 6 and t[:-4].isalpha())
 
 
 @lru_cache(maxsize=4)
-def default_tagger(given_names: tuple[str, ...], copies: int = 20, seed: int = 1) -> Tagger:
-    """The tagger trained on the package's own labelled table; kept for the process."""
-    return train(labelled_lines(list(given_names), copies, seed), list(given_names))
+def default_weights(names: tuple[str, ...], vocabulary: str, copies: int = 6, seed: int = 1) -> Tagger:
+    """The tagger trained on the package's own labelled table, with surrogates from the given names; kept for the process."""
+    common = common_words(vocabulary)
+    return train(labelled_lines(list(names), copies, seed, tuple(sorted(common))), NameList(names), common)
+
+
+def default_tagger(given_names: DataFrame, given: str, vocabulary: str, training_names: int = 2_000, most_names: int = 20_000_000) -> Tagger:
+    """``default_weights`` with all given names of the table.
+
+    The training draws its surrogates from at most ``training_names`` of them, chosen by hash. All names become a feature; the list takes
+    eight bytes a name, and one of more than ``most_names`` is refused rather than cut.
+    """
+    names = given_names.select(F.trim(given).alias("g")).filter("g IS NOT NULL AND g <> ''").distinct()
+    rows = names.count()
+    if rows > most_names:
+        raise ValueError(f"{rows} given names; at most {most_names} can be broadcast")
+    known = names.toPandas()["g"].tolist()
+    drawn = sorted(sorted(known, key=NameList.hash)[:training_names])
+    return replace(default_weights(tuple(drawn), vocabulary), given=NameList(known), memo={}, rows={}, table=None)
 
 
 def spans_of(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> Iterator[tuple[int, int, str]]:
@@ -275,12 +322,30 @@ def spans_of(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> Ite
         while end < len(labels) and LABELS[labels[end]] == f"I-{kind}":
             end += 1
         a, e = spans[at][0], spans[end - 1][1]
+        if kind != "street":  # never part of a run without blanks
+            a, e = _run(text, a, e, "-'’" if kind == "name" else "_.+-@")
+        elif text[e : e + 1] == "." and text[a:e].lower().rpartition(" ")[2] in ABBREVIATED:
+            e += 1
         m = FORMS[kind].search(text, a, e)
         if m:
             yield m.start(), m.end(), kind
         at = end
 
 
+def _run(text: str, a: int, e: int, marks: str, most: int = 100) -> tuple[int, int]:
+    """The span widened to the edges of the runs of letters, digits and inner marks in which it begins and ends."""
+    lo, hi = a, e
+    while lo > 0 and a - lo < most and (text[lo - 1].isalnum() or text[lo - 1] in marks):
+        lo -= 1
+    while hi < len(text) and hi - e < most and (text[hi].isalnum() or text[hi] in marks):
+        hi += 1
+    while lo < a and not text[lo].isalnum() and not (text[lo] == "+" and text[lo + 1].isdigit()):  # no mark in front, but for a phone's plus
+        lo += 1
+    while hi > e and not text[hi - 1].isalnum():
+        hi -= 1
+    return lo, hi
+
+
 def lots_of(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
     """Runs of neighbouring texts of at most ``most`` characters together (a longer text is a run of its own)."""
     lo = size = 0
@@ -311,16 +376,15 @@ def tag_texts(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str
     return found
 
 
-def find_personal(documents: DataFrame, given_names: DataFrame, document: str = "doc_id", text: str = "text", given: str = "given_name", most_names: int = 100_000) -> DataFrame:
+def find_personal(documents: DataFrame, given_names: DataFrame, document: str = "doc_id", text: str = "text", given: str = "given_name", vocabulary: str | None = None) -> DataFrame:
     """Each place of personal information: ``document, kind, value, start, end``.
 
     ``value`` is written exactly as in the text. NULL and empty texts hold nothing; whole texts are read, however long; a NULL
-    document id is left out; repeated rows give repeated places; other columns are ignored; an empty table gives no rows. At most
-    ``most_names`` given names (in alphabetical order) become features of the model; an empty list only takes that feature away.
+    document id is left out; repeated rows give repeated places; other columns are ignored; an empty table gives no rows. An empty
+    list of given names only takes that feature away. ``vocabulary``: a public vocabulary file with word ends (``VOCABULARY`` if None).
     """
     spark = ship(documents.sparkSession)
-    names = [r[0] for r in given_names.select(given).filter(F.col(given).isNotNull()).distinct().orderBy(given).limit(most_names).collect()]
-    shared = spark.sparkContext.broadcast(default_tagger(tuple(names)))
+    shared = spark.sparkContext.broadcast(default_tagger(given_names, given, VOCABULARY if vocabulary is None else vocabulary))
     schema = T.StructType([documents.schema[document], T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,11 +400,10 @@ def find_personal(documents: DataFrame, given_names: DataFrame, document: str =
     return corpus.mapInPandas(scan, schema)
 
 
-def redact(documents: DataFrame, given_names: DataFrame, text: str = "text", given: str = "given_name", most_names: int = 100_000) -> DataFrame:
+def redact(documents: DataFrame, given_names: DataFrame, text: str = "text", given: str = "given_name", vocabulary: str | None = None) -> DataFrame:
     """The documents with every value replaced by its kind's placeholder; NULL stays NULL, all columns stay."""
     spark = ship(documents.sparkSession)
-    names = [r[0] for r in given_names.select(given).filter(F.col(given).isNotNull()).distinct().orderBy(given).limit(most_names).collect()]
-    shared = spark.sparkContext.broadcast(default_tagger(tuple(names)))
+    shared = spark.sparkContext.broadcast(default_tagger(given_names, given, VOCABULARY if vocabulary is None else vocabulary))
 
     @F.pandas_udf(T.StringType())
     def replaced(texts: pd.Series) -> pd.Series:
