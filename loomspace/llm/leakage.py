@@ -9,10 +9,11 @@ passages, the words between them are compared one by one, and an item counts as
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,142 +28,202 @@ WORD = re.compile(r"[^\W_]+")
 SENTENCE = r"(?<=[.!?])\s+|[\r\n]+"
 #: Stands for a blanked-out sentence; no document word equals it.
 GAP = "\x00"
-HASH = np.int64(1 << 22)
-
-
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
 class SuffixAutomaton:
-    """All word runs of all items. ``ends[state]``: places (item, offset after the run) first added there; ``link`` is the suffix tree."""
+    """All word runs of some items, packed into arrays: twelve bytes a transition or place, twelve more a state.
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.ids: dict[str, int] = {}
-        self.words = [w for _, w in items]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.ends: list[list[tuple[int, int]]] = [[]]
-        pairs: set[tuple[int, int]] = set()
-        self.coded: list[list[int]] = []
-        for n, (_, words) in enumerate(items):
-            last, coded = 0, []
-            for i, w in enumerate(words):
-                if w == GAP:
-                    last = 0
-                    coded.append(-1)
-                    continue
-                c = self.ids.setdefault(w, len(self.ids))
-                if coded and coded[-1] >= 0:
-                    pairs.add((coded[-1], c))
-                coded.append(c)
-                last = self._extend(last, c)
-                self.ends[last].append((n, i + 1))
-            self.coded.append(coded)
-        self.children: list[list[int]] = [[] for _ in self.next]
-        for s, p in enumerate(self.link):
+    ``ids`` numbers the words; words that it doesn't know are added. A state stands for the runs that end at the same places of the
+    items; ``link`` is the suffix tree, in which a state's places are its own and those of all states below it.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str]]], ids: dict[str, int] | None = None):
+        self.ids: dict[str, int] = {} if ids is None else ids
+        number = self.ids.setdefault
+        coded = [[-1 if w == GAP else number(w, len(self.ids)) for w in words] for _, words in items]
+        following: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
+        ends: list[tuple[int, int, int]] = []
+
+        def new(size: int, to: int, nxt: dict[int, int]) -> int:
+            following.append(nxt)
+            link.append(to)
+            length.append(size)
+            return len(following) - 1
+
+        def split(p: int, q: int, c: int) -> int:
+            clone = new(length[p] + 1, link[q], dict(following[q]))
+            link[q] = clone
+            while p >= 0 and following[p].get(c) == q:
+                following[p][c] = clone
+                p = link[p]
+            return clone
+
+        def extend(last: int, c: int) -> int:
+            q = following[last].get(c)
+            if q is not None:
+                return q if length[q] == length[last] + 1 else split(last, q, c)
+            cur = new(length[last] + 1, 0, {})
+            p = last
+            while p >= 0 and c not in following[p]:
+                following[p][c] = cur
+                p = link[p]
             if p >= 0:
-                self.children[p].append(s)
-        self.count = [len(e) for e in self.ends]  # places of each state
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            self.count[self.link[s]] += self.count[s]
-        self.bigrams = np.zeros(HASH, bool)
-        if pairs:
-            a, b = np.array(sorted(pairs), np.int64).T
-            self.bigrams[self.hash(a, b)] = True
-
-    @staticmethod
-    def hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * np.int64(2654435761) + b * np.int64(40503)) % HASH
-
-    def _new(self, length: int, link: int, nxt: dict[int, int]) -> int:
-        self.next.append(nxt)
-        self.link.append(link)
-        self.length.append(length)
-        self.ends.append([])
-        return len(self.next) - 1
-
-    def _split(self, p: int, q: int, c: int) -> int:
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, q, c)
-        cur = self._new(self.length[last] + 1, 0, {})
-        p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = cur
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][c]
-            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
-        return cur
+                q = following[p][c]
+                link[cur] = q if length[q] == length[p] + 1 else split(p, q, c)
+            return cur
+
+        for n, words in enumerate(coded):
+            last = 0
+            for i, c in enumerate(words):
+                last = 0 if c < 0 else extend(last, c)
+                if c >= 0:
+                    ends.append((last, n, i + 1))
+        states = len(following)
+        self.link, self.length = np.array(link, np.int32), np.array(length, np.int32)
+        sizes = np.fromiter(map(len, following), np.int64, states)
+        self.out_start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        edges = np.fromiter((v for f in following for e in sorted(f.items()) for v in e), np.int32, 2 * int(sizes.sum())).reshape(-1, 2)
+        self.out_code, self.out_state = np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1])
+        at = np.array(ends, np.int32).reshape(-1, 3)
+        at = at[np.argsort(at[:, 0], kind="stable")]
+        self.end_start = np.searchsorted(at[:, 0], np.arange(states + 1)).astype(np.int32)
+        self.end_item, self.end_at = np.ascontiguousarray(at[:, 1]), np.ascontiguousarray(at[:, 2])
+        self.child = np.argsort(self.link, kind="stable").astype(np.int32)[1:]
+        self.child_start = np.searchsorted(self.link[self.child], np.arange(states + 1)).astype(np.int32)
+        count = np.diff(self.end_start).tolist()  # places of each state
+        for s in np.argsort(-self.length, kind="stable").tolist():
+            if s:
+                count[link[s]] += count[s]
+        self.count = np.array(count, np.int32)
+        self.word_start = np.concatenate([[0], np.cumsum([len(w) for w in coded])]).astype(np.int64)
+        self.word = np.fromiter((c for w in coded for c in w), np.int32, int(self.word_start[-1]))
+        self.views: dict[str, memoryview] = {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "ids"} | {"views": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+
+    def view(self, name: str) -> memoryview:
+        """An array whose elements come out as plain numbers, which is what stepping through it word by word needs."""
+        if name not in self.views:
+            self.views[name] = memoryview(getattr(self, name))
+        return self.views[name]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in self.__dict__.values() if isinstance(v, np.ndarray))
+
+    def item(self, k: int) -> list[int]:
+        """The item's words; -1 for a gap."""
+        return self.word[self.word_start[k] : self.word_start[k + 1]].tolist()
+
+    def stepper(self) -> Callable[[int, int], int]:
+        """``step(state, code)``: the next state, or -1."""
+        start, code, target = self.view("out_start"), self.view("out_code"), self.view("out_state")
+
+        def step(s: int, c: int) -> int:
+            lo, hi = start[s], start[s + 1]
+            at = lo if hi - lo == 1 else bisect_left(code, c, lo, hi)
+            return target[at] if at < hi and code[at] == c else -1
+
+        return step
 
     def places(self, state: int, without: int = -1) -> Iterator[tuple[int, int]]:
         """Where the runs of ``state`` end: its own places and those of all states below it, but for ``without`` and those below that."""
+        first, item, at, child, children = (self.view(n) for n in ("end_start", "end_item", "end_at", "child", "child_start"))
         stack = [state]
         while stack:
             s = stack.pop()
             if s != without:
-                yield from self.ends[s]
-                stack += self.children[s]
+                for i in range(first[s], first[s + 1]):
+                    yield item[i], at[i]
+                stack += child[children[s] : children[s + 1]]
 
     def runs(self, codes: list[int], least: int) -> Iterator[tuple[int, int, int]]:
         """Maximal matches (end, length, state) of at least ``least`` words."""
-        nxt, link, length = self.next, self.link, self.length
+        step, link, length = self.stepper(), self.view("link"), self.view("length")
         s = n = 0
         for i, c in enumerate(codes):
-            if c not in nxt[s]:
+            t = step(s, c)
+            if t < 0:
                 if n >= least:
                     yield i, n, s
-                while s and c not in nxt[s]:
+                while s and t < 0:
                     s = link[s]
                     n = length[s]
-            if c in nxt[s]:
-                s = nxt[s][c]
-                n += 1
-            else:
-                s = n = 0
+                    t = step(s, c)
+            s, n = (t, n + 1) if t >= 0 else (0, 0)
         if n >= least:
             yield len(codes), n, s
 
-
     def own_runs(self, codes: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
         """Each item's own maximal runs (end, length, item, offset after the run) of at least ``least`` words.
 
         A run of one item inside a longer run of another is among them: at each word the places that the next word doesn't
         follow drop out, those of the current state with the whole match and those of the states it links to with theirs.
         """
-        nxt, link, length, count = self.next, self.link, self.length, self.count
+        step, link, length, count, word, start = self.stepper(), *(self.view(n) for n in ("link", "length", "count", "word", "word_start"))
         s = n = 0
         for i, c in enumerate([*codes, -1]):
+            t = step(s, c)
             if n >= least:
                 top = s
                 while length[link[top]] >= least:
                     top = link[top]
-                if count[top] != (count[nxt[top][c]] if c in nxt[top] else 0):
-                    below, t, m = -1, s, n
-                    while t > 0 and m >= least:
-                        for k, at in self.places(t, below):
-                            words = self.coded[k]
-                            if c < 0 or at >= len(words) or words[at] != c:
+                after = step(top, c)
+                if count[top] != (count[after] if after >= 0 else 0):
+                    below, u, m = -1, s, n
+                    while u > 0 and m >= least:
+                        for k, at in self.places(u, below):
+                            if c < 0 or start[k] + at >= start[k + 1] or word[start[k] + at] != c:
                                 yield i, m, k, at
-                        below, t = t, link[t]
-                        m = length[t]
-            while s and c not in nxt[s]:
+                        below, u = u, link[u]
+                        m = length[u]
+            while s and t < 0:
                 s = link[s]
                 n = length[s]
-            if c in nxt[s]:
-                s = nxt[s][c]
-                n += 1
-            else:
-                s = n = 0
+                t = step(s, c)
+            s, n = (t, n + 1) if t >= 0 else (0, 0)
+
+
+class ItemIndex:
+    """Several automata over one numbering of words, so that texts are cut into words and numbered once for all of them.
+
+    ``bits`` marks the hashes of all neighbouring word pairs of the items, 64 bits a pair.
+    """
+
+    def __init__(self, lots: Iterable[list[tuple[int, list[str]]]]):
+        self.ids: dict[str, int] = {}
+        self.automata: list[SuffixAutomaton] = []
+        self.names: list = []
+        self.first: list[int] = []
+        for lot in lots:
+            self.first.append(len(self.names))
+            self.automata.append(SuffixAutomaton(lot, self.ids))
+            self.names += [i for i, _ in lot]
+        pairs = [(w[:-1], w[1:]) for w in (a.word.astype(np.int64) for a in self.automata)]
+        size = 1 << max(22, (64 * sum(len(a) for a, _ in pairs)).bit_length())
+        self.bits = np.zeros(size // 8, np.uint8)
+        for a, b in pairs:
+            real = (a >= 0) & (b >= 0)  # pairs across two items among them, which does no harm
+            h = self.hash(a[real], b[real])
+            np.bitwise_or.at(self.bits, h >> 3, np.left_shift(1, h & 7).astype(np.uint8))
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.int64(2654435761) + b * np.int64(40503)) & np.int64(8 * len(self.bits) - 1)
+
+    def paired(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = self.hash(a, b)
+        return (self.bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+
+    def item(self, number: int) -> list[int]:
+        n = bisect_right(self.first, number) - 1
+        return self.automata[n].item(number - self.first[n])
 
 
 @dataclass
@@ -302,28 +363,35 @@ def _shards(items: DataFrame, most: int) -> Iterator[list[tuple[int, list[str]]]
         yield lot
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, document: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limits: Limits = Limits(), most: int = 500_000) -> DataFrame:
+def _indexes(items: DataFrame, most: int, lots: int) -> Iterator[ItemIndex]:
+    """Indexes of at most ``lots`` automata each."""
+    shards = _shards(items, most)
+    while some := list(islice(shards, lots)):
+        yield ItemIndex(some)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, document: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limits: Limits = Limits(), most: int = 500_000, lots: int = 8) -> DataFrame:
     """Leaked passages: ``item, document, start, end, words``, with character places in the document's text.
 
     A row for each of the one or two passages that prove the leak. NULL and empty texts hold nothing; repeated items count once;
-    each document row is examined as a whole. An automaton holds at most ``most`` item words (more items make more automata, each
-    a pass over the documents), so what is broadcast doesn't grow with either table. Empty tables give no rows.
+    each document row is examined as a whole. An automaton holds at most ``most`` item words and one pass over the documents serves
+    ``lots`` automata (more items make more passes), so what is broadcast doesn't grow with either table. Empty tables give no rows.
     """
     spark = ship(documents.sparkSession)
     corpus = documents.filter(F.col(text).isNotNull() & (F.col(text) != "") & F.col(document).isNotNull()).select(F.col(document).alias("__d"), F.col(text).alias("__x"))
     kinds = [T.StructField(item, items.schema[item].dataType), T.StructField(document, documents.schema[document].dataType)]
     schema = T.StructType([*kinds, *(T.StructField(n, T.LongType()) for n in ("start", "end", "words"))])
     out = None
-    for lot in _shards(item_words(items, item, item_text), most):
-        shared = spark.sparkContext.broadcast((SuffixAutomaton(lot), [i for i, _ in lot]))
+    for index in _indexes(item_words(items, item, item_text), most, lots):
+        shared = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton, names = shared.value
+            index = shared.value
             for b in batches:
                 ids, texts = b["__d"].tolist(), b["__x"].tolist()
                 for lot in _lots(texts):
-                    rows = list(_scan(ids[lot], texts[lot], automaton, limits))
-                    yield pd.DataFrame([(names[n], *rest) for n, *rest in rows], columns=schema.fieldNames())
+                    rows = list(_scan(ids[lot], texts[lot], index, limits))
+                    yield pd.DataFrame([(index.names[n], *rest) for n, *rest in rows], columns=schema.fieldNames())
 
         part = corpus.mapInPandas(scan, schema)
         out = part if out is None else out.unionByName(part)
@@ -342,15 +410,15 @@ def _lots(texts: list[str], most: int = 8_000_000) -> Iterator[slice]:
         yield slice(lo, len(texts))
 
 
-def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Limits, whole: bool = False) -> Iterator[tuple]:
+def _scan(names: list, texts: list[str], index: ItemIndex, limits: Limits, whole: bool = False) -> Iterator[tuple]:
     """Item number, name, start, end and words of the passages that prove a leak; if ``whole``, of all passages of a leaked item."""
-    get = automaton.ids.get
+    get = index.ids.get
     per_doc = [words_of(t) for t in texts]
     sizes = np.array([len(w) + 1 for w in per_doc], np.int64)
     codes = np.fromiter((c for w in per_doc for c in (*(get(x, -1) for x in w), -1)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     # only where enough neighbouring word pairs occur in items can a run of `seed` words lie
-    ok = np.concatenate([[False], (codes[:-1] >= 0) & (codes[1:] >= 0) & automaton.bigrams[automaton.hash(codes[:-1], codes[1:])], [False]])
+    ok = np.concatenate([[False], (codes[:-1] >= 0) & (codes[1:] >= 0) & index.paired(codes[:-1], codes[1:]), [False]])
     edge = np.flatnonzero(ok[1:] != ok[:-1])
     lo, hi = edge[0::2], edge[1::2] + 1
     keep = hi - lo >= limits.seed
@@ -358,11 +426,13 @@ def _scan(names: list, texts: list[str], automaton: SuffixAutomaton, limits: Lim
     for a, z in zip(lo[keep].tolist(), hi[keep].tolist(), strict=True):
         d = int(np.searchsorted(starts, a, side="right")) - 1
         base = a - int(starts[d])
-        for end, n, k, at in automaton.own_runs(codes[a:z].tolist(), limits.seed):
-            found[d, k].append((base + end - n, at - n, n))
+        stretch = codes[a:z].tolist()
+        for first, automaton in zip(index.first, index.automata, strict=True):
+            for end, n, k, at in automaton.own_runs(stretch, limits.seed):
+                found[d, first + k].append((base + end - n, at - n, n))
     for (d, k), runs in found.items():
         doc = codes[starts[d] : starts[d + 1] - 1].tolist()
-        every = passages(doc, automaton.coded[k], runs, limits)
+        every = passages(doc, index.item(k), runs, limits)
         hits = leaked(every, limits)
         if hits:
             spans = [m.span() for m in WORD.finditer(texts[d].lower())]
@@ -406,20 +476,19 @@ def _cutter(shared: Broadcast, limits: Limits) -> Callable[[Column], Column]:
     return cut
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", limits: Limits = Limits(), most: int = 500_000, most_share: float = 0.5) -> DataFrame:
+def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", limits: Limits = Limits(), most: int = 500_000, most_share: float = 0.5, lots: int = 8) -> DataFrame:
     """The documents with all passages of each leaked item replaced by one blank each, in the pass that finds them, without a shuffle of the texts.
 
-    Cutting goes on until the document leaks nothing of the automaton's items.
+    Cutting goes on until the document leaks nothing of the items of one pass (see ``find_leaks``).
     A document of which more than ``most_share`` of the characters would go is dropped as a whole. Documents without leaks stay as
-    they are, those with a NULL or empty text too; all columns stay. Items in several automata are removed one automaton after the
+    they are, those with a NULL or empty text too; all columns stay. Items of several passes are removed one pass after the
     other.
     """
     spark = ship(documents.sparkSession)
     kept, whole, gone = (max([stem, *(c + "_" for c in documents.columns if c.startswith(stem))], key=len) for stem in ("__kept", "__whole", "__gone"))
     out = documents.withColumns({whole: F.length(text), gone: F.lit(0).cast("long")})
-    for lot in _shards(item_words(items, item, item_text), most):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(lot))
-
+    for index in _indexes(item_words(items, item, item_text), most, lots):
+        shared = spark.sparkContext.broadcast(index)
         out = out.withColumn(kept, _cutter(shared, limits)(F.col(text)))
         out = out.withColumns({gone: F.col(gone) + F.col(f"{kept}.gone"), text: F.when(F.col(text).isNotNull(), F.col(f"{kept}.text"))})
         out = out.filter(F.col(text).isNull() | (F.col(whole) == 0) | (F.col(gone) <= most_share * F.col(whole)))

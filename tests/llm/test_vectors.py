@@ -177,7 +177,7 @@ def test_tiles_don_t_change_the_settled_vectors(spark):
     grid = CellGrid(0.85)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in xy], "x float, y float")
     cells, wide = _settled(spark, df, grid, steps=400)
-    _, small = _settled(spark, df, grid, rounds=6, steps=200, halo=6, tile=9)
+    _, small = _settled(spark, df, grid, rounds=16, steps=200, halo=6, tile=9)
     wide = {(r["cx"], r["cy"]): np.frombuffer(r["v"], np.float32) for r in wide.collect()}
     small = {(r["cx"], r["cy"]): (np.frombuffer(r["v"], np.float32), r["gap"]) for r in small.collect()}
     # the same cells agree, whatever the tiles; a group cut by tiles settles at a value of its own
