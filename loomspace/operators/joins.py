@@ -85,8 +85,10 @@ def rjoin_pairs(points: DataFrame, boxes: DataFrame, x: str = "x", y: str = "y",
 
 def sjoin(points: DataFrame, boxes: DataFrame, key: str = "id", x: str = "x", y: str = "y", levels: Levels = Levels(), **mapped: Column) -> DataFrame:
     """Places that at least one box holds, each key once, with ``mapped`` columns applied to the result."""
-    p, b, on = _prepared(points, boxes, levels, x, y)
-    out = p.join(b, on, "left_semi").select(*points.columns).dropDuplicates([key])
+    p, b, on = _prepared(points.select(key, x, y), boxes.select(*CORNERS), levels, x, y)
+    hit = p.join(b, on, "left_semi").select(F.col(f"p.{key}").alias("__k"), F.col(f"p.{x}").alias("__x"), F.col(f"p.{y}").alias("__y")).distinct()
+    # the other columns stay out of the copies of a place; they are fetched by key, place by place
+    out = points.join(hit, points[key].eqNullSafe(hit["__k"]) & (points[x] == hit["__x"]) & (points[y] == hit["__y"]), "left_semi").dropDuplicates([key])
     return out.withColumns(mapped) if mapped else out
 
 
@@ -99,10 +101,7 @@ def rjoin(points: DataFrame, boxes: DataFrame, box_key: str, aggregates: dict[st
     held = rjoin_pairs(points, boxes.select(box_key, *CORNERS), x, y, levels).groupBy(box_key).agg(*(a.alias(n) for n, a in aggregates.items()))
     if how == "inner":
         return held
-    out = boxes.select(box_key).distinct().join(held, box_key, "left")
-    for n, v in (empty or {}).items():
-        out = out.withColumn(n, F.coalesce(F.col(n), v))
-    return out
+    return _with_empty(boxes, held, box_key, empty)
 
 
 def prepare_places(points: DataFrame, boxes: DataFrame, partitions: int, x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
@@ -116,12 +115,36 @@ def prepare_boxes(boxes: DataFrame, partitions: int, levels: Levels = Levels())
 
 def prepared_pairs(places: DataFrame, boxes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """``rjoin_pairs`` of two sides that were prepared with the same number of partitions: nothing is shuffled again."""
+    p, b, on = _meeting(places, boxes, x, y)
+    mine = [c for c in places.columns if c not in KEY]
+    return p.join(b, on).select(*(F.col(f"p.{c}") for c in mine), *(F.col(f"b.{c}") for c in boxes.columns if c not in (*mine, *KEY)))
+
+
+def _meeting(places: DataFrame, boxes: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Two prepared sides and their join condition; equal keys and partition numbers keep both where they lie."""
     p, b = places.alias("p"), boxes.hint("shuffle_hash").alias("b")
     on = G.contains(G.Box(*(F.col(f"b.{c}") for c in CORNERS)), G.Point(F.col(f"p.{x}"), F.col(f"p.{y}")))
     for k in KEY:
         on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))
-    mine = [c for c in places.columns if c not in KEY]
-    return p.join(b, on).select(*(F.col(f"p.{c}") for c in mine), *(F.col(f"b.{c}") for c in boxes.columns if c not in (*mine, *KEY)))
+    return p, b, on
+
+
+def prepared_sjoin(places: DataFrame, boxes: DataFrame, key: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """``sjoin`` of two prepared sides: only the places that are held move on, to come out once for each key."""
+    p, b, on = _meeting(places, boxes, x, y)
+    return p.join(b, on, "left_semi").select(*(c for c in places.columns if c not in KEY)).dropDuplicates([key])
+
+
+def prepared_rjoin(places: DataFrame, boxes: DataFrame, all_boxes: DataFrame, box_key: str, aggregates: dict[str, Column], empty: dict[str, Column] | None = None, how: str = "left", x: str = "x", y: str = "y") -> DataFrame:
+    """``rjoin`` of two prepared sides; only one state for each box and task moves on. ``all_boxes`` gives the keys of ``how="left"``."""
+    p, b, on = _meeting(places, boxes, x, y)
+    held = p.join(b, on).select(f"b.{box_key}", *(F.col(f"p.{c}") for c in places.columns if c not in KEY)).groupBy(box_key).agg(*(a.alias(n) for n, a in aggregates.items()))
+    return held if how == "inner" else _with_empty(all_boxes, held, box_key, empty)
+
+
+def _with_empty(boxes: DataFrame, held: DataFrame, box_key: str, empty: dict[str, Column] | None) -> DataFrame:
+    out = boxes.select(box_key).distinct().join(held, box_key, "left")
+    return out.withColumns({n: F.coalesce(F.col(n), v) for n, v in (empty or {}).items()})
 
 
 def rjoin_custom(points: DataFrame, boxes: DataFrame, box_key: str, partial: Callable[[pd.DataFrame], object], merge: Callable[[object, object], object], kind: str, empty: object = None, key: str = "id", parts: int = 16, x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
@@ -143,15 +166,14 @@ def rjoin_custom(points: DataFrame, boxes: DataFrame, box_key: str, partial: Cal
     return boxes.select(box_key).distinct().join(held, box_key, "left").withColumn("value", F.coalesce("value", F.lit(empty).cast(kind)))
 
 
-def salted_pairs(points: DataFrame, boxes: DataFrame, hot: DataFrame, salts: int, key: str = "id", x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
-    """``rjoin_pairs`` with the ``hot`` cells (``__level, __cx, __cy``) divided: their places by a hash of the key into ``salts`` parts,
-    their boxes copied to each part. ``hot`` is small by construction (see ``skew.hot_cells``)."""
+def salted_pairs(points: DataFrame, boxes: DataFrame, hot: DataFrame, key: str = "id", x: str = "x", y: str = "y", levels: Levels = Levels()) -> DataFrame:
+    """``rjoin_pairs`` with the ``hot`` cells (``__level, __cx, __cy, parts``) divided: their places by a hash of the key into so many
+    parts, their boxes copied to each part. Spark's own size estimate of ``hot`` decides whether it is broadcast."""
     p = levels.places(points, levels.in_use(boxes), x, y)
     b = levels.boxes(boxes)
-    mark = F.broadcast(hot.select(*KEY, F.lit(True).alias("__hot")))
-    p = p.join(mark, KEY, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot").alias("p")
-    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    b = b.join(mark, KEY, "left").withColumn("__salt", F.explode(parts)).drop("__hot").alias("b")
+    mark = hot.select(*KEY, F.col("parts").alias("__hot"))
+    p = p.join(mark, KEY, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(key), F.col("__hot")), F.lit(0)).cast("int")).drop("__hot").alias("p")
+    b = b.join(mark, KEY, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__hot"), F.lit(1)) - 1))).drop("__hot").alias("b")
     on = G.contains(G.Box(*(F.col(f"b.{c}") for c in CORNERS)), G.Point(F.col(f"p.{x}"), F.col(f"p.{y}")))
     for k in [*KEY, "__salt"]:
         on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))

@@ -1,8 +1,9 @@
 """Exact nearest-neighbour joins.
 
-A quadtree over a bounded sample divides the places into leaves; one aggregation gives each leaf's row count and tight bounding
-box (at most ``max_leaves`` rows). A query, or a group of nearby queries, takes leaves in the order of their farthest corner until
-they hold k places: that distance bounds the k-th neighbour. It then visits every leaf whose nearest edge is within the bound.
+A quadtree over a bounded sample divides the places into leaves; one aggregation by leaf gives their row counts and tight bounding
+boxes (at most ``max_leaves`` rows). A query, or a group of nearby queries, takes leaves in the order of their farthest corner until
+they hold k places: that distance bounds the k-th neighbour. It then visits every leaf whose nearest edge is within the bound, which an
+R-tree over the leaves finds.
 Leaves that stay too full are divided by a hash of the id, and their visitors are copied to each part. Each part ranks its
 own candidates, and only k rows a query and part go to the final ranking.
 """
@@ -20,27 +21,68 @@ from pyspark.sql import types as T
 from loomspace.functions import geometry as G
 from loomspace.functions.hilbert import hilbert_of_place
 from loomspace.operators.quadtree import build_quadtree, sample_places
-from loomspace.plans.runtime import ship
+from loomspace.operators.rtree import PackedRTree
+from loomspace.plans.runtime import materialize, ship
 
 #: Covers single-precision differences in the bounds, which are computed in double.
 SLACK, LEAST = 1 + 1e-5, 1e-6
 
 
-def _bounds(q: np.ndarray, leaf: np.ndarray, count: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Leaves to visit for each query rectangle ``q`` (x1, y1, x2, y2); ``leaf`` holds the leaves' bounding boxes."""
-    step = max(1, 2_000_000 // max(1, len(leaf)))
-    for lo in range(0, len(q), step):
-        b = q[lo : lo + step]
-        far = np.maximum(np.abs(b[:, None, 0:2] - leaf[None, :, 2:4]), np.abs(b[:, None, 2:4] - leaf[None, :, 0:2]))
-        near = np.maximum(0, np.maximum(leaf[None, :, 0:2] - b[:, None, 2:4], b[:, None, 0:2] - leaf[None, :, 2:4]))
-        far2, near2 = (far**2).sum(axis=2), (near**2).sum(axis=2)
-        order = np.argsort(far2, axis=1, kind="stable")
-        held = np.cumsum(count[order], axis=1)
-        enough = np.argmax(held >= k, axis=1)
-        r2 = np.where(held[:, -1] >= k, np.take_along_axis(far2, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], np.inf)
-        visit = near2 <= (r2 * SLACK + LEAST)[:, None]
-        for i in range(len(b)):
-            yield lo + i, np.flatnonzero(visit[i])
+class Leaves:
+    """The occupied leaves in curve order: how many places each holds and their bounding box."""
+
+    def __init__(self, leaf: np.ndarray, count: np.ndarray, box: np.ndarray):
+        order = np.argsort(leaf)
+        self.leaf, self.count, self.box = leaf[order], count[order], box[order]
+        self.index = PackedRTree(*self.box.T)
+
+    def _far2(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Squared distance to the farthest corner."""
+        b = self.box[at]
+        return (np.maximum(np.abs(q[..., 0:2] - b[..., 2:4]), np.abs(q[..., 2:4] - b[..., 0:2])) ** 2).sum(axis=-1)
+
+    def _enough(self, q: np.ndarray, position: np.ndarray, k: int) -> np.ndarray:
+        """Squared radius within which each query has ``k`` places, by the leaves next to its own along the curve; infinite if there
+        aren't ``k`` places at all."""
+        r2, todo, width = np.full(len(q), np.inf), np.arange(len(q)), 4
+        while len(todo) and self.count.sum() >= k:
+            at = position[todo, None] + np.arange(-width, width + 1)
+            inside = (at >= 0) & (at < len(self.leaf))
+            at = np.clip(at, 0, len(self.leaf) - 1)
+            far2 = np.where(inside, self._far2(q[todo, None], at), np.inf)
+            order = np.argsort(far2, axis=1, kind="stable")
+            held = np.cumsum(np.take_along_axis(np.where(inside, self.count[at], 0), order, 1), axis=1)
+            done = held[:, -1] >= k
+            first = np.take_along_axis(order, np.argmax(held >= k, axis=1)[:, None], 1)
+            r2[todo[done]] = np.take_along_axis(far2, first, 1)[done, 0]
+            todo, width = todo[~done], width * 4
+        return r2
+
+    def visits(self, q: np.ndarray, position: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, leaf number) to visit, for query rectangles ``q`` (x1, y1, x2, y2) at their places along the curve.
+
+        The leaves near a query along the curve give a first radius; of all leaves within it those with the nearest far corners
+        that hold ``k`` places give the final one.
+        """
+        r2 = self._enough(q, position, k)
+        r = np.sqrt(np.minimum(r2, 1e12)) * SLACK + LEAST
+        for row, at in self.index.probe(q[:, 0] - r, q[:, 1] - r, q[:, 2] + r, q[:, 3] + r):
+            order = np.lexsort((far2 := self._far2(q[row], at), row))
+            row, at, far2 = row[order], at[order], far2[order]
+            held = np.cumsum(self.count[at])
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            before = np.repeat(np.concatenate([[0], held])[starts], np.diff(np.append(starts, len(row))))
+            full = held - before >= k
+            least = np.minimum.reduceat(np.where(full, far2, np.inf), starts)
+            bound = np.repeat(least, np.diff(np.append(starts, len(row)))) * SLACK + LEAST
+            b, s = self.box[at], q[row]
+            near = np.maximum(0, np.maximum(b[:, 0:2] - s[:, 2:4], s[:, 0:2] - b[:, 2:4]))
+            keep = (near**2).sum(axis=1) <= bound
+            yield row[keep], at[keep]
+
+    def touched(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, leaf number) of rectangles and the leaves that they touch."""
+        yield from self.index.probe(*q.T)
 
 
 def _windows(x: np.ndarray, y: np.ndarray, side: float, factor: float) -> np.ndarray:
@@ -49,19 +91,20 @@ def _windows(x: np.ndarray, y: np.ndarray, side: float, factor: float) -> np.nda
     return np.stack([mx - half, my - half, mx + half, my + half], axis=1)
 
 
-def _touched(q: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Leaves that each rectangle touches."""
-    step = max(1, 2_000_000 // max(1, len(leaf)))
-    for lo in range(0, len(q), step):
-        b = q[lo : lo + step]
-        hit = ((b[:, None, 0:2] <= leaf[None, :, 2:4]) & (leaf[None, :, 0:2] <= b[:, None, 2:4])).all(axis=2)
-        for i in range(len(b)):
-            yield lo + i, np.flatnonzero(hit[i])
+def _each(row: np.ndarray, times: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row ``times`` over, and beside it the numbers from its ``start`` on."""
+    number = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start, times)
+    return np.repeat(row, times), number
+
+
+def leaf_stats(places: DataFrame, leaf: Column) -> DataFrame:
+    """``leaf, n, x1, y1, x2, y2``: one row for each occupied leaf, combined on the map side."""
+    return places.withColumn("leaf", leaf).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *G.mbr())
 
 
 def knn_join(
     points: DataFrame, queries: DataFrame, k: int, key_predicate: Column | None = None, value_predicate: Column | None = None,
-    strategy: str = "each", rows: int | None = None, target: int = 8_192, max_leaves: int = 4096, run: int = 50, order: int = 16, window: tuple[float, float] | None = None,
+    strategy: str = "each", rows: int | None = None, target: int = 8_192, max_leaves: int = 32_768, run: int = 50, order: int = 16, window: tuple[float, float] | None = None, sample_size: int = 400_000,
 ) -> DataFrame:
     """``qid, id, dist, rk``: for each query ``qid, qx, qy`` the ``k`` places ``id, x, y`` nearest to it, equal distances by id.
 
@@ -87,33 +130,36 @@ def knn_join(
     out_schema = T.StructType([asked.schema["qid"], kept.schema["id"], T.StructField("dist", T.DoubleType())])
     if k < 1:
         return spark.createDataFrame([], out_schema.add("rk", T.LongType()))
+    kept = materialize(kept)  # read four times below
     rows = kept.count() if rows is None else rows
-    tree = build_quadtree(*sample_places(kept, "x", "y", rows), leaf_share=target / max(1, rows), max_leaves=max_leaves)
+    tree = build_quadtree(*sample_places(kept, "x", "y", rows, sample_size), leaf_share=target / max(1, rows), max_leaves=max_leaves)
     parts = np.maximum(1, np.ceil(tree.weight * rows / target)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64)
     where = spark.sparkContext.broadcast((tree, parts, first))
 
     @F.pandas_udf(T.IntegerType())
+    def leaf_of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(where.value[0].leaf(x.to_numpy(), y.to_numpy()).astype(np.int32))
+
+    @F.pandas_udf(T.LongType())
     def part_of(x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
         tree, parts, first = where.value
         leaf = tree.leaf(x.to_numpy(), y.to_numpy())
-        return pd.Series((first[leaf] + h.to_numpy() % parts[leaf]).astype(np.int32))
+        return pd.Series(first[leaf] + h.to_numpy() % parts[leaf])
 
     held = kept.withColumn("part", part_of("x", "y", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
-    stats = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *G.mbr()).toPandas()
+    stats = leaf_stats(kept, leaf_of("x", "y")).toPandas()
     if not len(stats):
         return spark.createDataFrame([], out_schema.add("rk", T.LongType()))
-    leaf_of_part = np.searchsorted(first, stats["part"].to_numpy(), side="right") - 1
-    stats = stats.assign(leaf=leaf_of_part).groupby("leaf").agg(n=("n", "sum"), x1=("x1", "min"), y1=("y1", "min"), x2=("x2", "max"), y2=("y2", "max")).reset_index()
-    known = spark.sparkContext.broadcast((stats["leaf"].to_numpy(), stats["n"].to_numpy(), stats[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)))
+    known = spark.sparkContext.broadcast(Leaves(stats["leaf"].to_numpy(), stats["n"].to_numpy(), stats[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)))
     asked = asked.distinct()
     if strategy == "hilbert":
         asked = asked.withColumn("h", hilbert_of_place(F.col("qx"), F.col("qy"), order)).repartitionByRange("h").sortWithinPartitions("h").drop("h")
-    visits = T.StructType([*asked.schema.fields, T.StructField("part", T.IntegerType())])
+    visits = T.StructType([*asked.schema.fields, T.StructField("part", T.LongType())])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, parts, first = where.value
-        leaf, n, boxes = known.value
+        leaves = known.value
         for b in batches:
             if not len(b):
                 continue
@@ -122,15 +168,13 @@ def knn_join(
             at = np.argsort(group, kind="stable")
             starts = np.flatnonzero(np.diff(group[at], prepend=-1))
             rect = np.stack([f.reduceat(v[at], starts) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))], axis=1)
-            ends = np.append(starts[1:], len(at))
-            row, part = [], []
-            seen = _bounds(rect, boxes, n, k) if window is None else _touched(_windows(x, y, *window), boxes)
-            for g, see in seen:
-                lots = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[v], first[v] + parts[v]) for v in leaf[see])])
-                own = at[starts[g] : ends[g]]
-                row.append(np.repeat(own, len(lots)))
-                part.append(np.tile(lots, len(own)))
-            yield b.iloc[np.concatenate(row)].assign(part=np.concatenate(part).astype(np.int32))
+            size = np.diff(np.append(starts, len(at)))
+            middle = np.searchsorted(leaves.leaf, tree.leaf((rect[:, 0] + rect[:, 2]) / 2, (rect[:, 1] + rect[:, 3]) / 2))
+            for g, see in leaves.visits(rect, middle, k) if window is None else leaves.touched(_windows(x, y, *window)):
+                leaf = leaves.leaf[see]
+                g, part = _each(g, parts[leaf], first[leaf])  # every part of the leaf
+                _, member = _each(g, size[g], starts[g])  # for every member of the group
+                yield b.iloc[at[member]].assign(part=np.repeat(part, size[g]))
 
     def rank(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspace.operators.quadtree import Quadtree, build_quadtree, sample_places
+from loomspace.operators.quadtree import DEPTH, Quadtree, build_quadtree, sample_places
+from loomspace.operators.search import range_filter
 from loomspace.plans.runtime import ship
 
 
@@ -82,3 +83,33 @@ def repartition_by_quadtree(df: DataFrame, tree: Quadtree, partitions: int, x: s
     pids = pack_leaves(tree.weight, partitions)
     mapping = F.broadcast(partition_of_leaves(df.sparkSession, pids))
     return with_leaf(df, tree, x, y).join(mapping, "leaf").repartition(partitions, "pid").sortWithinPartitions("leaf")
+
+
+def write_layout(df: DataFrame, tree: Quadtree, partitions: int, path: str, x: str = "x", y: str = "y") -> None:
+    """Write ``df`` so that a range search reads only where it can find something: a folder for each partition of neighbouring leaves,
+    rows sorted by leaf within it, and beside them the table ``layout`` of each folder's bounding box."""
+    spread = repartition_by_quadtree(df, tree, partitions, x, y)
+    spread.write.partitionBy("pid").parquet(f"{path}/rows")
+    written = df.sparkSession.read.parquet(f"{path}/rows")
+    written.groupBy("pid").agg(*(f(F.col(c).cast("double")).alias(n) for f, c, n in ((F.min, x, "x1"), (F.min, y, "y1"), (F.max, x, "x2"), (F.max, y, "y2")))).coalesce(1).write.parquet(f"{path}/layout")
+
+
+def read_layout(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """A table of ``write_layout``; with a ``box`` only the places in it, out of the folders whose bounding box it touches."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if box is None:
+        return rows.drop("pid", "leaf")
+    x1, y1, x2, y2 = box
+    wanted = [r[0] for r in spark.read.parquet(f"{path}/layout").filter((F.col("x1") <= x2) & (F.col("x2") >= x1) & (F.col("y1") <= y2) & (F.col("y2") >= y1)).select("pid").collect()]  # at most one a folder
+    return range_filter(rows.filter(F.col("pid").isin(wanted)), box, None, x, y).drop("pid", "leaf")
+
+
+def leaf_audit(df: DataFrame, tree: Quadtree, most: int, x: str = "x", y: str = "y") -> DataFrame:
+    """One row: places, those outside the rectangle of their leaf, and leaves with more than ``most`` places that could still be divided."""
+    box = tree.bounds()
+    corners = df.sparkSession.createDataFrame(pd.DataFrame({"leaf": np.arange(len(tree), dtype=np.int32), "level": tree.levels, **{n: [b[i] for b in box] for i, n in enumerate(("bx1", "by1", "bx2", "by2"))}}))
+    at = with_leaf(df.select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), x, y), tree, x, y).join(F.broadcast(corners), "leaf")
+    top = tree.extent[2:]
+    out = (F.col("px") < F.col("bx1")) | (F.col("py") < F.col("by1")) | ((F.col("px") >= F.col("bx2")) & (F.col("bx2") < top[0])) | ((F.col("py") >= F.col("by2")) & (F.col("by2") < top[1]))
+    each = at.groupBy("leaf", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(out.cast("long")).alias("out"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("places"), F.coalesce(F.sum("out"), F.lit(0)).alias("outside"), F.coalesce(F.sum(((F.col("n") > most) & (F.col("level") < DEPTH)).cast("long")), F.lit(0)).alias("overfull"))

@@ -2,8 +2,8 @@
 
 A quadtree over a bounded sample of the objects divides the plane into leaves of about ``target`` objects. Each object goes
 to one leaf (its own, or for the intersection of two rectangles to every leaf it touches), each region to all leaves that
-it touches. A leaf that stays too full because many objects share one spot is divided further by a hash of the object's
-id, and its regions are copied to each part, so that no task gets an unbounded group. Each part bulk-loads an R-tree over its
+it touches. A leaf that stays too full because many objects share one spot, or that many regions touch, is divided further by hashes of
+either side's ids, so that no task gets an unbounded group (see ``Parts``). Each part bulk-loads an R-tree over its
 regions, probes it in batches and tests the exact predicate. A pair is kept only in the leaf that holds its reference
 point, hence once.
 """
@@ -25,15 +25,34 @@ from loomspace.plans.runtime import ship
 FIELDS = ["id", "x1", "y1", "x2", "y2"]
 
 
-def _parts(tree: Quadtree, rows: int, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash parts of each leaf and the number of the leaf's first part."""
-    parts = np.maximum(1, np.ceil(tree.weight * rows / target)).astype(np.int64)
-    return parts, np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64)
+class Parts:
+    """Groups of a quadtree's leaves: a leaf with many objects or many regions is a grid of hash parts of either side.
+
+    A group has about ``target`` objects and ``most_regions`` regions. An object goes to one part of its side, once for each part of the
+    regions' side, and the other way round, so every pair of a leaf meets in exactly one group.
+    """
+
+    def __init__(self, objects: np.ndarray, regions: np.ndarray, target: int, most_regions: int):
+        self.objects = np.maximum(1, np.ceil(objects / target)).astype(np.int64)
+        self.regions = np.maximum(1, np.ceil(regions / most_regions)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.objects * self.regions)]).astype(np.int64)
+
+    def of(self, leaf: np.ndarray, hashed: np.ndarray, region: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Row and group of each copy of regions, or of objects, at the given leaves."""
+        own, other = (self.regions[leaf], self.objects[leaf]) if region else (self.objects[leaf], self.regions[leaf])
+        row = np.repeat(np.arange(len(leaf)), other)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(other) - other, other)
+        mine, at = (hashed % own)[row], leaf[row]
+        region_part, object_part = (mine, rank) if region else (rank, mine)
+        return row, self.first[at] + region_part * self.objects[at] + object_part
+
+    def leaf(self, group: int) -> int:
+        return int(np.searchsorted(self.first, group, side="right")) - 1
 
 
 def region_join(
     left: DataFrame, right: DataFrame, predicate: str, distance: float = 0.0, rows: int | None = None,
-    target: int = 32_768, max_leaves: int = 4096, sample_size: int = 100_000,
+    target: int = 32_768, max_leaves: int = 16_384, sample_size: int = 100_000, most_regions: int = 8_192,
 ) -> DataFrame:
     """Pairs ``left_id, right_id`` of regions (left) and objects (right), both given as ``id, x1, y1, x2, y2``.
 
@@ -58,45 +77,41 @@ def region_join(
     if rows is None:
         rows = right.count()
     tree = build_quadtree(*sample_places(right, "x1", "y1", rows, sample_size), leaf_share=target / max(1, rows), max_leaves=max_leaves)
-    parts, first = _parts(tree, rows, target)
-    shared = spark.sparkContext.broadcast((tree, parts, first))  # at most max_leaves leaves
     reach = distance * (1 + 1e-9) + 1e-12 if predicate == "within" else 0.0
-
-    @F.pandas_udf(T.IntegerType())
-    def object_part(x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
-        tree, parts, first = shared.value
+    asked = left.count()
+    some = left.sample(fraction=20_000 / asked, seed=11) if asked > 20_000 else left
+    drawn = some.limit(40_000).toPandas()[FIELDS[1:]].to_numpy(np.float64)
+    visited = tree.cover(*(drawn + np.array([-reach, -reach, reach, reach])).T)[1]
+    shared = spark.sparkContext.broadcast((tree, Parts(tree.weight * rows, np.bincount(visited, minlength=len(tree)) * (asked / max(1, len(drawn))), target, most_regions)))  # a few numbers for each leaf
+    divided = bool((shared.value[1].regions > 1).any())
+
+    @F.pandas_udf(T.LongType())
+    def object_group(x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
+        tree, parts = shared.value
         leaf = tree.leaf(x.to_numpy(), y.to_numpy())
-        return pd.Series((first[leaf] + h.to_numpy() % parts[leaf]).astype(np.int32))
+        return pd.Series(parts.first[leaf] + h.to_numpy() % parts.objects[leaf])
 
-    def covered(batches: Iterator[pd.DataFrame], every_part: bool) -> Iterator[pd.DataFrame]:
-        tree, parts, first = shared.value
+    def covered(batches: Iterator[pd.DataFrame], region: bool, grow: float, own_leaf: bool = False) -> Iterator[pd.DataFrame]:
+        tree, parts = shared.value
         for b in batches:
             x1, y1, x2, y2 = (b[c].to_numpy(np.float64) for c in FIELDS[1:])
-            grow = reach if every_part else 0.0
-            row, leaf = tree.cover(x1 - grow, y1 - grow, x2 + grow, y2 + grow)
-            if every_part:
-                n = parts[leaf]
-                row, leaf = np.repeat(row, n), np.repeat(leaf, n)
-                part = first[leaf] + (np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n))
-            else:
-                h = pd.util.hash_array(b["id"].to_numpy()).astype(np.uint64) % np.uint64(1 << 31)
-                part = first[leaf] + h[row].astype(np.int64) % parts[leaf]
-            yield b.iloc[row].assign(part=part.astype(np.int32))
-
-    def schema(df: DataFrame) -> T.StructType:
-        return T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())])
-
-    regions = left.mapInPandas(lambda it: covered(it, True), schema(left))
-    if predicate == "intersects":
-        objects = right.mapInPandas(lambda it: covered(it, False), schema(right))
+            row, leaf = (np.arange(len(b)), tree.leaf(x1, y1)) if own_leaf else tree.cover(x1 - grow, y1 - grow, x2 + grow, y2 + grow)
+            copy, group = parts.of(leaf, b["__h"].to_numpy()[row], region)
+            yield b[FIELDS].iloc[row[copy]].assign(part=group)
+
+    hashed = lambda df: df.withColumn("__h", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
+    schema = lambda df: T.StructType([*df.schema.fields, T.StructField("part", T.LongType())])
+    regions = hashed(left).mapInPandas(lambda it: covered(it, True, reach), schema(left))
+    if predicate == "intersects" or divided:
+        objects = hashed(right).mapInPandas(lambda it: covered(it, False, 0.0, predicate != "intersects"), schema(right))
     else:
-        objects = right.withColumn("part", object_part("x1", "y1", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
+        objects = hashed(right).withColumn("part", object_group("x1", "y1", "__h")).drop("__h")
 
     def probe(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         out_l, out_r = [lefts["id"].to_numpy()[:0]], [rights["id"].to_numpy()[:0]]
         if len(lefts) and len(rights):
-            tree, _, first = shared.value
-            here = np.searchsorted(first, int(lefts["part"].iloc[0]), side="right") - 1
+            tree, parts = shared.value
+            here = parts.leaf(int(lefts["part"].iloc[0]))
             lefts, rights = lefts.drop_duplicates(), rights.drop_duplicates()
             lx1, ly1, lx2, ly2 = (lefts[c].to_numpy(np.float64) for c in FIELDS[1:])
             rx1, ry1, rx2, ry2 = (rights[c].to_numpy(np.float64) for c in FIELDS[1:])

@@ -7,12 +7,14 @@ as two NumPy arrays. A leaf is a half-open run of Morton codes, so every place o
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspace.operators.rtree import PackedRTree
+
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 DEPTH = 15
 SIDE = 1 << DEPTH
@@ -40,6 +42,7 @@ class Quadtree:
     starts: np.ndarray
     levels: np.ndarray
     weight: np.ndarray
+    index: PackedRTree | None = field(default=None, repr=False)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -67,16 +70,12 @@ class Quadtree:
         """Pairs (row, leaf) of every rectangle and the leaves that it touches."""
         a, b = self.grid(x1, y1)
         c, d = self.grid(x2, y2)
-        lx, ly, hx, hy = self.grid_boxes()
-        step = max(1, 4_000_000 // max(1, len(self)))
-        rows, leaves = [], []
-        for i in range(0, len(a), step):
-            s = slice(i, i + step)
-            hit = (a[s, None] <= hx) & (c[s, None] >= lx) & (b[s, None] <= hy) & (d[s, None] >= ly)
-            r, q = np.nonzero(hit)
-            rows.append(r + i)
-            leaves.append(q)
-        return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*leaves, np.zeros(0, np.int64)]).astype(np.int64)
+        if self.index is None:
+            self.index = PackedRTree(*self.grid_boxes())
+        pairs = list(self.index.probe(a, b, c, d))
+        row, leaf = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
+        order = np.lexsort((leaf, row))
+        return row[order], leaf[order]
 
     def bounds(self) -> list[tuple[float, float, float, float]]:
         """Rectangles of the leaves in coordinates."""

@@ -5,7 +5,7 @@ There are no false negatives: a box that does hold a place is always let through
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspace.functions import geometry as G
@@ -63,6 +63,29 @@ def encode(cells: DataFrame, grid: Grid) -> DataFrame:
     return rows.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
 
 
+def may_contain_encoded(boxes: DataFrame, encoded: DataFrame, grid: Grid, key: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """``may_contain`` out of the bitmaps alone: the boxes with a cell whose bit is set, each key once.
+
+    The bitmaps hold one bit for each cell of the grid, so their size is known beforehand; up to ``most_bytes`` they are broadcast.
+    """
+    small = F.broadcast(encoded) if grid.shape[0] * grid.shape[1] // 8 <= most_bytes else encoded
+    n = F.col("cy").cast("long") * grid.shape[0] + F.col("cx") + 1
+    at = grid.cover(boxes).select("*", F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("__at"))
+    return at.join(small, "bucket").filter(_bit(F.col("bits"), F.col("__at"))).select(*boxes.columns).dropDuplicates([key])
+
+
+def _bit(bits: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def decode(encoded: DataFrame, grid: Grid) -> DataFrame:
+    """The occupied cells ``cx, cy`` of an encoded filter."""
+    places = encoded.select("bucket", "bits", F.explode(F.sequence(F.lit(0), F.octet_length("bits") * 8 - 1)).alias("__at")).filter(_bit(F.col("bits"), F.col("__at")))
+    n = (F.col("bucket") - 1) * 32768 + F.col("__at")
+    return places.select((n % grid.shape[0]).cast("int").alias("cx"), F.floor(n / grid.shape[0]).cast("int").alias("cy"))
+
+
 def encoded_count(encoded: DataFrame) -> DataFrame:
     """``n``: occupied cells of an encoded filter."""
     return encoded.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -53,14 +52,19 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The written table cuts the lineage and outlives any executor, unlike a cached one.
+    The written table cuts the lineage and outlives any executor, unlike a cached one. It is deleted when the driver ends.
     """
-    spark = df.sparkSession
-    at = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    at = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(at)
-    if at.startswith("/"):
-        atexit.register(shutil.rmtree, at, True)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; whatever is written there is deleted when the driver ends."""
+    at = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -77,8 +81,3 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(at)
     sc._loomspace_shipped = True
     return spark
-
-
-def vocabulary_folder() -> str:
-    """Where the public tokenizer files lie; a parameter of everything that reads them."""
-    return os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")

@@ -25,11 +25,20 @@ PLACE = (28.25, 39.5)
 K = 5
 
 
-def points(spark: Q, d: str) -> DataFrame:
+def points(spark: Q, d: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """All places, or those in a box: copies of an id share their place, so the box goes to the reader and only what it lets through is
+    made unique."""
     rows = table(spark, d, "points").filter(placed(F.col("x"), F.col("y")))
+    if box is not None:
+        rows = search.range_filter(rows, box)
     return rows.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("tag").alias("tag"), F.min("text").alias("text"))
 
 
+def raw(spark: Q, d: str) -> DataFrame:
+    """The places with their copies."""
+    return table(spark, d, "points").filter(placed(F.col("x"), F.col("y"))).select("id", "x", "y", "tag")
+
+
 def boxes(spark: Q, d: str) -> DataFrame:
     raw = table(spark, d, "boxes").select(F.col("box_id").alias("bid"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
     return raw.filter(G.is_finite(G.box())).groupBy("bid").agg(*(F.min(c).alias(c) for c in joins.CORNERS))
@@ -53,11 +62,11 @@ def xy(df: DataFrame, *more: str) -> DataFrame:
 
 
 def range_filter(spark: Q, d: str) -> DataFrame:
-    return xy(search.range_filter(points(spark, d), BOX, F.col("tag").isNotNull()), "tag")
+    return xy(points(spark, d, BOX).filter(F.col("tag").isNotNull()), "tag")
 
 
 def range_filter_boundary(spark: Q, d: str) -> DataFrame:
-    return xy(search.range_filter(points(spark, d).unionByName(hot_places(spark, d), allowMissingColumns=True), EDGE_BOX))
+    return xy(points(spark, d, EDGE_BOX).select("id", "x", "y").unionByName(search.range_filter(hot_places(spark, d), EDGE_BOX)))
 
 
 def hot_places(spark: Q, d: str) -> DataFrame:
@@ -67,11 +76,11 @@ def hot_places(spark: Q, d: str) -> DataFrame:
 
 
 def range_count(spark: Q, d: str) -> DataFrame:
-    return search.range_count(points(spark, d), BOX)
+    return points(spark, d, BOX).agg(F.count(F.lit(1)).alias("n"))
 
 
 def range_fold(spark: Q, d: str) -> DataFrame:
-    return wide(search.fold_search(points(spark, d), BOX, *G.mbr(), F.count(F.lit(1)).alias("n")))
+    return wide(search.fold_search(points(spark, d, BOX), BOX, *G.mbr(), F.count(F.lit(1)).alias("n")))
 
 
 def range_intersects(spark: Q, d: str) -> DataFrame:
@@ -79,7 +88,7 @@ def range_intersects(spark: Q, d: str) -> DataFrame:
 
 
 def spatial_text(spark: Q, d: str) -> DataFrame:
-    return xy(search.text_search(points(spark, d), BOX, "text", ["apple", "google"], ["BAD"]), "text")
+    return xy(search.text_search(points(spark, d, BOX), BOX, "text", ["apple", "google"], ["BAD"]), "text")
 
 
 def contains_entries(spark: Q, d: str) -> DataFrame:
@@ -91,15 +100,15 @@ def contains_entries(spark: Q, d: str) -> DataFrame:
 
 
 def knn_filter(spark: Q, d: str) -> DataFrame:
-    return xy(search.knn_filter(points(spark, d), *PLACE, 10), "dist")
+    return xy(search.knn_distinct(raw(spark, d), *PLACE, 10), "dist")
 
 
 def knn_filter_pred(spark: Q, d: str) -> DataFrame:
-    return xy(search.knn_filter(points(spark, d), *PLACE, 10, F.col("tag") == "view"), "dist")
+    return xy(search.knn_distinct(raw(spark, d), *PLACE, 10, predicate=F.col("tag") == "view"), "dist")
 
 
 def nearest(spark: Q, d: str) -> DataFrame:
-    return xy(search.nearest(points(spark, d), *PLACE), "dist")
+    return xy(search.knn_distinct(raw(spark, d), *PLACE, 1), "dist")
 
 
 def knn_join(spark: Q, d: str) -> DataFrame:
@@ -167,9 +176,22 @@ def rjoin_prepared(spark: Q, d: str) -> DataFrame:
     return joins.prepared_pairs(joins.prepare_places(p, b, 16), joins.prepare_boxes(b, 16)).select("bid", "id")
 
 
+def _both(spark: Q, d: str) -> tuple[DataFrame, DataFrame]:
+    p, b = points(spark, d).select("id", "x", "y"), boxes(spark, d)
+    return joins.prepare_places(p, b, 16), joins.prepare_boxes(b, 16)
+
+
+def sjoin_prepared(spark: Q, d: str) -> DataFrame:
+    return xy(joins.prepared_sjoin(*_both(spark, d)))
+
+
+def rjoin_prepared_count(spark: Q, d: str) -> DataFrame:
+    return joins.prepared_rjoin(*_both(spark, d), boxes(spark, d), "bid", {"n": F.count(F.lit(1)), "ids": F.sum("id")}, {"n": F.lit(0), "ids": F.lit(0)})
+
+
 def rjoin_custom(spark: Q, d: str) -> DataFrame:
     """The largest id of each box's places, as an aggregate of one's own."""
-    return joins.rjoin_custom(points(spark, d).select("id", "x", "y"), boxes(spark, d), "bid", lambda rows: int(rows["id"].max()), max, "bigint", 0, parts=2).withColumnRenamed("value", "last")
+    return joins.rjoin_custom(points(spark, d).select("id", "x", "y"), boxes(spark, d), "bid", lambda rows: int(rows["id"].max()), max, "bigint", 0).withColumnRenamed("value", "last")
 
 
 def rjoin_quadtree(spark: Q, d: str) -> DataFrame:
@@ -179,7 +201,7 @@ def rjoin_quadtree(spark: Q, d: str) -> DataFrame:
 
 def box_intersections(spark: Q, d: str) -> DataFrame:
     b = boxes(spark, d).withColumnRenamed("bid", "id")
-    e = with_geometry(table(spark, d, "entries").select("entry_id", "geom"), "geom").filter("NOT geometry.is_point").select(F.col("entry_id").alias("id"), "geometry.x1", "geometry.y1", "geometry.x2", "geometry.y2")
+    e = with_geometry(table(spark, d, "entries").select("entry_id", "geom"), "geom").select(F.col("entry_id").alias("id"), "geometry.x1", "geometry.y1", "geometry.x2", "geometry.y2")
     return region_join(b, e, "intersects").select(F.col("left_id").alias("bid"), F.col("right_id").alias("entry_id"))
 
 
@@ -261,7 +283,9 @@ def point_lookup(spark: Q, d: str) -> DataFrame:
 
 
 def multiget(spark: Q, d: str) -> DataFrame:
-    return xy(store.multiget(points(spark, d), places(spark, d).select(F.col("qx").alias("x"), F.col("qy").alias("y"))))
+    """Every fifth place, and the stations, none of which is a place."""
+    wanted = points(spark, d).filter("id % 5 = 0").select("x", "y").unionByName(places(spark, d).select(F.col("qx").alias("x"), F.col("qy").alias("y")))
+    return xy(store.multiget(points(spark, d), wanted))
 
 
 def delete_keys(spark: Q, d: str) -> DataFrame:
@@ -300,16 +324,22 @@ def box_cells(spark: Q, d: str) -> DataFrame:
 
 
 def quadtree_leaf_counts(spark: Q, d: str) -> DataFrame:
+    """The places of the leaves, none of them outside its leaf, and no leaf too full."""
     p = points(spark, d)
-    tree = partitioning.quadtree_for(p, 16)
-    return partitioning.leaf_counts(p, tree)
+    rows = p.count()
+    return partitioning.leaf_audit(p, partitioning.quadtree_for(p, 16, rows), max(1, rows // 16))
+
+
+def _balance(counts: DataFrame) -> DataFrame:
+    """Partitions, places, and whether every number of a partition is one of the 16."""
+    return counts.agg(F.count(F.lit(1)).alias("partitions"), F.sum("n").alias("places"), F.min(F.col("pid").between(0, 15)).alias("numbered"))
 
 
 def quadtree_partition_counts(spark: Q, d: str) -> DataFrame:
     p = points(spark, d)
     tree = partitioning.quadtree_for(p, 16)
     pids = F.broadcast(partitioning.partition_of_leaves(spark, partitioning.pack_leaves(tree.weight, 16)))
-    return partitioning.leaf_counts(p, tree).join(pids, "leaf").groupBy("pid").agg(F.sum("n").alias("n"))
+    return _balance(partitioning.leaf_counts(p, tree).join(pids, "leaf").groupBy("pid").agg(F.sum("n").alias("n")))
 
 
 def quadtree_load_partitions(spark: Q, d: str) -> DataFrame:
@@ -319,7 +349,7 @@ def quadtree_load_partitions(spark: Q, d: str) -> DataFrame:
     load = partitioning.leaf_counts(p, tree).join(visits, "leaf", "full_outer").select("leaf", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("visits", F.lit(0)).alias("visits")).toPandas()
     counts = load.set_index("leaf").reindex(range(len(tree)), fill_value=0)
     pids = partitioning.partition_of_leaves(spark, partitioning.pack_by_load(counts["n"].to_numpy(), counts["visits"].to_numpy(), 16))
-    return partitioning.leaf_counts(p, tree).join(F.broadcast(pids), "leaf").groupBy("pid").agg(F.sum("n").alias("n"))
+    return _balance(partitioning.leaf_counts(p, tree).join(F.broadcast(pids), "leaf").groupBy("pid").agg(F.sum("n").alias("n")))
 
 
 def skew_report(spark: Q, d: str) -> DataFrame:
@@ -357,6 +387,18 @@ def sfilter_encoded_count(spark: Q, d: str) -> DataFrame:
     return sfilter.encoded_count(sfilter.encode(_filter(spark, d), FINE))
 
 
+def sfilter_encoded_probe(spark: Q, d: str) -> DataFrame:
+    return sfilter.may_contain_encoded(boxes(spark, d), sfilter.encode(_filter(spark, d), FINE), FINE, "bid").select("bid")
+
+
+def sfilter_decoded(spark: Q, d: str) -> DataFrame:
+    return sfilter.decode(sfilter.encode(_filter(spark, d), FINE), FINE)
+
+
+def sfilter_mostly_empty(spark: Q, d: str) -> DataFrame:
+    return sfilter.mostly_empty(boxes(spark, d), _filter(spark, d), FINE, "bid", 0.5).select("bid")
+
+
 ORDER = 10
 
 
@@ -411,11 +453,11 @@ def bit_ops(spark: Q, d: str) -> DataFrame:
 NAMES = (
     "range_filter", "range_filter_boundary", "range_count", "range_fold", "range_intersects", "spatial_text", "contains_entries",
     "knn_filter", "knn_filter_pred", "nearest", "knn_join", "knn_join_pred", "knn_join_hilbert", "knn_join_pivots", "knn_join_collected", "knn_join_approx",
-    "sjoin", "sjoin_map", "sjoin_scheduled", "rjoin_count", "rjoin_sum", "rjoin_inner", "rjoin_pairs", "rjoin_prepared", "rjoin_custom", "rjoin_quadtree", "rjoin_scheduled", "box_intersections",
+    "sjoin", "sjoin_map", "sjoin_scheduled", "rjoin_count", "rjoin_sum", "rjoin_inner", "rjoin_pairs", "rjoin_prepared", "sjoin_prepared", "rjoin_prepared_count", "rjoin_custom", "rjoin_quadtree", "rjoin_scheduled", "box_intersections",
     "geom_scalars", "geom_predicates", "box_box_ops", "box_point_distance", "mbr_agg",
     "build_dedup", "put_overwrite", "multiput_sum", "multiput_general", "insert_merged", "point_lookup", "multiget", "delete_keys", "remove_entries", "store_differences", "map_values",
     "grid_partition_counts", "grid_cell_counts", "box_cells", "quadtree_leaf_counts", "quadtree_partition_counts", "quadtree_load_partitions", "skew_report", "top_cells",
-    "sfilter_may_contain", "sfilter_empty_fraction", "sfilter_mark_empty", "sfilter_coarse", "sfilter_encoded_count",
+    "sfilter_may_contain", "sfilter_empty_fraction", "sfilter_mark_empty", "sfilter_coarse", "sfilter_encoded_count", "sfilter_encoded_probe", "sfilter_decoded", "sfilter_mostly_empty",
     "hilbert_roundtrip", "hilbert_order", "hilbert_ranges_scan", "kmeans_step", "kmeans_fit", "wkt_roundtrip", "wkt_scan", "bit_ops",
 )
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -46,6 +46,19 @@ def cells(side: float, x: str = "x", y: str = "y") -> str:
     return f"{cell(x, -180.0, side, int(360 / side))} AS cx, {cell(y, -90.0, side, int(180 / side))} AS cy"
 
 
+def hilbert_sql(order: int) -> str:
+    """Row count of each place along the curve, one step of the published cell-to-curve recursion for each bit."""
+    side = 1 << order
+    out = f"""WITH {P}, h{order} AS (SELECT CAST(least(greatest(floor((CAST(x AS DOUBLE) + 180) / {d(360.0)} * {side}), 0), {side - 1}) AS BIGINT) AS a,
+  CAST(least(greatest(floor((CAST(y AS DOUBLE) + 90) / {d(180.0)} * {side}), 0), {side - 1}) AS BIGINT) AS b, CAST(0 AS BIGINT) AS h FROM p)"""
+    for k in range(order - 1, -1, -1):
+        s = 1 << k
+        rx, ry = f"((a >> {k}) & 1)", f"((b >> {k}) & 1)"
+        flip = lambda v: f"CASE WHEN {ry} = 0 AND {rx} = 1 THEN {side - 1} - {v} ELSE {v} END"
+        out += f""", h{k} AS (SELECT CASE WHEN {ry} = 0 THEN {flip("b")} ELSE a END AS a, CASE WHEN {ry} = 0 THEN {flip("a")} ELSE b END AS b, h + {s * s} * xor(3 * {rx}, {ry}) AS h FROM h{k + 1})"""
+    return f"{out} SELECT h, count(*) AS n FROM h0 GROUP BY h"
+
+
 NEAREST = dist(f(PLACE[0]), f(PLACE[1]))
 BX1, BY1, BX2, BY2 = map(f, BOX)
 MEETS = f"(x1 <= {BX2} AND {BX1} <= x2 AND y1 <= {BY2} AND {BY1} <= y2)"
@@ -94,10 +107,12 @@ SELECT qid, id, dist, rk FROM r WHERE rk <= {K}""",
     "rjoin_inner": f"{RJOIN} SELECT bid, n, ids, mean_x FROM h",
     "rjoin_pairs": PAIRS,
     "rjoin_prepared": PAIRS,
+    "sjoin_prepared": SJOIN,
+    "rjoin_prepared_count": f"{RJOIN} SELECT b.bid, coalesce(n, 0) AS n, coalesce(ids, 0) AS ids FROM b LEFT JOIN h ON b.bid = h.bid",
     "rjoin_custom": f"WITH {P}, {B} SELECT b.bid, coalesce(max(p.id), 0) AS last FROM b LEFT JOIN p ON {INSIDE} GROUP BY b.bid",
     "rjoin_quadtree": PAIRS,
     "rjoin_scheduled": f"{RJOIN} SELECT b.bid, coalesce(n, 0) AS n, coalesce(ids, 0) AS ids FROM b LEFT JOIN h ON b.bid = h.bid",
-    "box_intersections": f"WITH {GEO}, {B} SELECT bid, id AS entry_id FROM b JOIN geo AS e ON NOT e.is_point AND b.x1 <= b.x2 AND b.y1 <= b.y2 AND b.x1 <= e.x2 AND e.x1 <= b.x2 AND b.y1 <= e.y2 AND e.y1 <= b.y2",
+    "box_intersections": f"WITH {GEO}, {B} SELECT bid, id AS entry_id FROM b JOIN geo AS e ON b.x1 <= b.x2 AND b.y1 <= b.y2 AND b.x1 <= e.x2 AND e.x1 <= b.x2 AND b.y1 <= e.y2 AND e.y1 <= b.y2",
     "geom_scalars": f"""WITH {B} SELECT bid, CAST(x2 - x1 AS DOUBLE) AS w, CAST(y2 - y1 AS DOUBLE) AS h, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS a,
   CAST(least(x1, x2) AS DOUBLE) AS n_x1, CAST(least(y1, y2) AS DOUBLE) AS n_y1, CAST(greatest(x1, x2) AS DOUBLE) AS n_x2, CAST(greatest(y1, y2) AS DOUBLE) AS n_y2 FROM b""",
     "geom_predicates": f"""WITH {B} SELECT bid, x1 >= {BX1} AND x2 <= {BX2} AND y1 >= {BY1} AND y2 <= {BY2} AS inside, {MEETS} AS meets,
@@ -118,7 +133,7 @@ SELECT qid, id, dist, rk FROM r WHERE rk <= {K}""",
     "multiput_general": f"WITH {NEW} SELECT CAST(coalesce(s.x, n.x) AS DOUBLE) AS x, CAST(coalesce(s.y, n.y) AS DOUBLE) AS y, CASE WHEN s.id IS NULL THEN n.id * 10 WHEN n.id IS NULL THEN s.id ELSE greatest(s.id, n.id) END AS id FROM s FULL JOIN n ON s.x = n.x AND s.y = n.y",
     "insert_merged": f"WITH {P} SELECT {XY}, count(*) AS records, max(id) AS last FROM p GROUP BY p.x, p.y",
     "point_lookup": f"WITH {P} SELECT id, {XY} FROM p WHERE p.x = 0 AND p.y = 0",
-    "multiget": f"WITH {P}, {S} SELECT id, {XY} FROM p WHERE EXISTS (SELECT 1 FROM q WHERE q.qx = p.x AND q.qy = p.y)",
+    "multiget": f"WITH {P}, {S} SELECT id, {XY} FROM p WHERE EXISTS (SELECT 1 FROM q WHERE q.qx = p.x AND q.qy = p.y) OR (p.x, p.y) IN (SELECT (o.x, o.y) FROM p AS o WHERE o.id % 5 = 0)",
     "delete_keys": f"WITH {NEW} SELECT {XY}, id FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.x = s.x AND n.y = s.y)",
     "remove_entries": f"WITH {STORE} SELECT {XY}, id FROM s WHERE id % 2 <> 0",
     "store_differences": f"""WITH {NEW}, t AS (SELECT x, y, id FROM n UNION ALL SELECT x, y, id FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.x = s.x AND n.y = s.y))
@@ -135,6 +150,17 @@ SELECT bid, CAST(cx AS INTEGER) AS cx, CAST(unnest(range({cell("y1", -90.0, 4.0,
 SELECT a.bid, round(CASE WHEN area > 0 THEN 1 - coalesce(held, 0) / area END, 6) AS fraction FROM a LEFT JOIN u ON a.bid = u.bid""",
     "sfilter_mark_empty": f"WITH {FILTER} SELECT cx, cy FROM f WHERE NOT (cx - 180 >= {d(BOX[0])} AND cx - 179 <= {d(BOX[2])} AND cy - 90 >= {d(BOX[1])} AND cy - 89 <= {d(BOX[3])})",
     "sfilter_coarse": f"WITH {FILTER} SELECT DISTINCT CAST(floor(cx / 4) AS INTEGER) AS cx, CAST(floor(cy / 4) AS INTEGER) AS cy FROM f",
+    "sfilter_encoded_probe": f"WITH {FILTER}, {COVER1} SELECT DISTINCT bid FROM m JOIN f ON m.cx = f.cx AND m.cy = f.cy",
+    "sfilter_decoded": f"WITH {FILTER} SELECT cx, cy FROM f",
+    "sfilter_mostly_empty": f"""WITH {FILTER}, {COVER1}, u AS (SELECT bid, sum(greatest(0, least(CAST(x2 AS DOUBLE), m.cx - 179) - greatest(CAST(x1 AS DOUBLE), m.cx - 180)) * greatest(0, least(CAST(y2 AS DOUBLE), m.cy - 89) - greatest(CAST(y1 AS DOUBLE), m.cy - 90))) AS held
+  FROM m JOIN f ON m.cx = f.cx AND m.cy = f.cy GROUP BY bid), a AS (SELECT bid, (CAST(x2 AS DOUBLE) - CAST(x1 AS DOUBLE)) * (CAST(y2 AS DOUBLE) - CAST(y1 AS DOUBLE)) AS area FROM b)
+SELECT a.bid FROM a LEFT JOIN u ON a.bid = u.bid WHERE area > 0 AND 1 - coalesce(held, 0) / area >= 0.5""",
+    "quadtree_leaf_counts": f"WITH {P} SELECT count(*) AS places, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS overfull FROM p",
+    "quadtree_partition_counts": f"WITH {P} SELECT CAST(16 AS BIGINT) AS partitions, count(*) AS places, TRUE AS numbered FROM p",
+    "quadtree_load_partitions": f"WITH {P} SELECT CAST(16 AS BIGINT) AS partitions, count(*) AS places, TRUE AS numbered FROM p",
+    "skew_report": f"""WITH {CELL_COUNTS}, m AS (SELECT quantile_disc(n, 0.5) AS median FROM c)
+SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, max(n) AS largest, CAST(min(median) AS BIGINT) AS median, count(*) FILTER (n >= 3 * greatest(1, median)) AS hot FROM c, m""",
+    "hilbert_order": hilbert_sql(4),
     "sfilter_encoded_count": f"WITH {FILTER} SELECT count(*) AS n FROM f",
     "hilbert_roundtrip": f"""WITH {P} SELECT DISTINCT CAST(least(greatest(floor((CAST(x AS DOUBLE) + 180) / {d(360.0)} * 1024), 0), 1023) AS BIGINT) AS cx,
   CAST(least(greatest(floor((CAST(y AS DOUBLE) + 90) / {d(180.0)} * 1024), 0), 1023) AS BIGINT) AS cy FROM p""",

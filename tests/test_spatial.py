@@ -59,7 +59,7 @@ def test_joins_equal_nested_loop(spark, points, boxes):
 def test_skew_joins_equal_plain_joins(points, boxes):
     hot = skew.hot_cells(points, boxes)
     assert hot.count() > 0
-    plain, salted = joins.rjoin(points, boxes, "bid", {"n": F.count(F.lit(1))}, {"n": F.lit(0)}), skew.scheduled_rjoin(points, boxes, "bid", {"n": F.count(F.lit(1))}, {"n": F.lit(0)}, salts=5)
+    plain, salted = joins.rjoin(points, boxes, "bid", {"n": F.count(F.lit(1))}, {"n": F.lit(0)}), skew.scheduled_rjoin(points, boxes, "bid", {"n": F.count(F.lit(1))}, {"n": F.lit(0)})
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
     a, b = joins.sjoin(points, boxes).select("id"), skew.scheduled_sjoin(points, boxes).select("id")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
