@@ -84,6 +84,8 @@ def shape_features(token: str, given: NameList, words: frozenset[str], common: f
     out = [case, f"{case} length{min(len(token), 6)}", f"end:{low[-3:]}" if low[-3:] in words or low[-3:] in ENDINGS else "end", f"word:{low}" if low in words else f"rare {case}"]
     if low in given:
         out.append(f"given {case}")
+    if not token.isascii():
+        out.append(f"accent {case}")
     if low in common:
         out.append(f"common {case}")
     return out

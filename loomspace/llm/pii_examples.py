@@ -290,6 +290,8 @@ Given {d} {w}s and a {w}, {w} the {w}. {W} {w} {w}.
 {G} für die {G} {w}
 {G} im {G} nicht {w}
 {w} {G} beim {G} der {G}
+{G} {G} {w}
+{G} {w}
 Neue {G} für den {G}
 Die {G} wird im {G} {w}
 Ajout de la {w} pour les {w}
@@ -410,7 +412,10 @@ class Surrogates:
         return "17" + self.digits(self.r.choice([8, 11]))
 
     def G(self) -> str:
-        return self.stem(2) + self.r.choice(["ung", "heit", "keit", "schaft", "e", "en", "er", "eln", "ieren", "ion"])
+        stem = self.stem(2)
+        if self.r.random() < 0.4:
+            stem = stem.translate(str.maketrans("aou", "äöü"))
+        return stem + self.r.choice(["ung", "heit", "keit", "schaft", "e", "en", "er", "eln", "ieren", "ion"])
 
     def e(self) -> str:
         g, s = self.given().lower(), self.surname().lower().replace("'", "").replace(" ", "")

@@ -40,7 +40,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three entries of highest value at each location."""
     found = with_geometry(table(spark, folder, "entries").select("entry_id", "geom", "value").filter("value IS NOT NULL AND NOT isnan(value)"), "geom")
     places = found.select("entry_id", "value", "geometry.x1", "geometry.y1", "geometry.x2", "geometry.y2")
-    return top_n_per_group(places, ["x1", "y1", "x2", "y2"], "value", "entry_id", 3).select("entry_id")
+    return top_n_per_group(places, ["x1", "y1", "x2", "y2"], "value", "entry_id", 3, agreeing=True).select("entry_id")
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:

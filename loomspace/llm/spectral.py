@@ -532,7 +532,7 @@ def spectral_clusters(points: DataFrame, reach: float, typical: int = 5, extent:
     part = lambda e: e["n"] * F.exp(-((F.col("x") - e["mx"]) ** 2 + (F.col("y") - e["my"]) ** 2) / (reach * reach))
     # rounded, so that the order in which a sum is formed can't decide a tie
     scored = scored.select("cluster", "id", F.round(F.aggregate("near", F.lit(0.0), lambda acc, e: acc + part(e)), 6).alias("affinity"))
-    best = top_n_per_group(scored, ["cluster"], "affinity", "id", typical).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("typical"))
+    best = top_n_per_group(scored, ["cluster"], "affinity", "id", typical, agreeing=True).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("typical"))
     members = _with_cells(points, cells.select("cx", "cy", "cluster"), grid, grid.most_cells)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("records"))
     counts = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"))

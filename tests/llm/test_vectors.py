@@ -31,6 +31,8 @@ def test_top_n(spark):
     got = {tuple(r) for r in top_n_per_group(df, ["g"], "score", "item", 3, salts=4).collect()}
     assert got == _best(rows, 3)
     assert top_n_per_group(df, ["g"], "score", "item", 0).count() == 0
+    several = spark.createDataFrame([("a", 1, float(s)) for s in range(10, 30)] + [("a", 2, 7.0), ("a", 3, 6.0)], "g string, item long, score double")
+    assert {r["item"] for r in top_n_per_group(several, ["g"], "score", "item", 3, salts=1).collect()} == {1, 2, 3}
     assert top_n_per_group(df.limit(0), ["g"], "score", "item", 3).count() == 0
 
 
