@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspace.functions import geometry as G
 from loomspace.operators import grid as grids
-from loomspace.operators import partitioning, search, skew, store
+from loomspace.operators import kmeans, knn, partitioning, search, skew, store
 from loomspace.plans.runtime import scratch
 from loomspace.queries.spatial import BOX, boxes, places, points, wide, xy
 from loomspace.queries.spatial_sql import XY, B, P, S, cells, inside
@@ -157,10 +157,26 @@ def skew_cut(spark: Q, d: str) -> DataFrame:
     return cut.crossJoin(whole).agg((F.count(F.lit(1)) > 0).alias("divided"), F.min(F.col("n") * F.col("visits") <= F.col("whole") * F.col("parts")).alias("lighter"), F.min(F.col("n") * F.col("visits") > F.col("whole")).alias("heaviest"))
 
 
+def kmeans_settled(spark: Q, d: str) -> DataFrame:
+    """Whether another step of k-means would leave the fitted centres where they are."""
+    p = points(spark, d).select("x", "y")
+    _, centres = kmeans.kmeans(p, 8)
+    step = kmeans.lloyd_step(p, centres).select("cluster", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    old = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(centres)], "cluster long, ox double, oy double")
+    return step.join(old, "cluster").agg(F.count(F.lit(1)).alias("clusters"), F.min((F.abs(F.col("nx") - F.col("ox")) < 0.05) & (F.abs(F.col("ny") - F.col("oy")) < 0.05)).alias("settled"))
+
+
+def knn_approx_recall(spark: Q, d: str) -> DataFrame:
+    """Whether the approximate join finds at least nine tenths of the exact pairs."""
+    exact, quick = (f(points(spark, d), places(spark, d), 5).select("qid", "id") for f in (knn.knn_join, knn.knn_join_approx))
+    counts = exact.join(quick.withColumn("hit", F.lit(1)), ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.sum("hit").alias("hits"))
+    return counts.select("pairs", (F.col("hits") >= 0.9 * F.col("pairs")).alias("found"))
+
+
 NAMES = (
     "wkt_file_points", "wkt_file_queries", "wkt_file_boxes", "csv_lat_lon_text", "csv_xy_text", "csv_to_wkt_points", "sampled_rewrite", "rows_in_memory",
     "generated_points", "generated_gaussian", "generated_boxes", "range_pruned", "build_partitions", "build_by_partitioner", "physical_partitions", "sampled_boxes",
-    "insert_all", "search_point", "geometry_hashes", "corner_points", "skew_cut",
+    "insert_all", "search_point", "geometry_hashes", "corner_points", "skew_cut", "knn_approx_recall", "kmeans_settled",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -186,5 +202,7 @@ SQL = {
     "search_point": f"WITH {P} SELECT id, {XY} FROM p WHERE p.x = 0 AND p.y = 0",
     "geometry_hashes": f"WITH {B} SELECT count(*) AS hashes FROM (SELECT DISTINCT x1, y1, x2, y2 FROM b)",
     "corner_points": f"WITH {P} SELECT id, CAST(x AS DOUBLE) AS x2, CAST(y AS DOUBLE) AS y1, CAST(x + CAST(1 AS FLOAT) AS DOUBLE) AS right, CAST(y + CAST(1 AS FLOAT) AS DOUBLE) AS top FROM p",
+    "knn_approx_recall": f"WITH {S} SELECT count(*) * 5 AS pairs, TRUE AS found FROM q",
+    "kmeans_settled": "SELECT CAST(8 AS BIGINT) AS clusters, TRUE AS settled",
     "skew_cut": "SELECT TRUE AS divided, TRUE AS lighter, TRUE AS heaviest",
 }
