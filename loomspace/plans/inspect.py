@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def plan_text(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    conf, name = df.sparkSession.conf, "spark.sql.maxMetadataStringLength"
+    before = conf.get(name)
+    conf.set(name, "100000")  # else long lists of filters are cut
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, before)
 
 
 def exchanges(df: DataFrame) -> int:

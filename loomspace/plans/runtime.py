@@ -61,10 +61,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; whatever is written there is deleted when the driver ends."""
-    at = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    folder = _tables(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder; results that still read them must be done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:
