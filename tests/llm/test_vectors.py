@@ -241,6 +241,15 @@ def test_labels_decide_the_groups(spark):
         anchored_groups(p, a, 0.85, most_rounds=2, labels=lambda v, centres, tolerance: v.withColumn("cluster", F.pmod(F.xxhash64("cx", "cy"), F.lit(1 << 30)).cast("int")))
 
 
+def test_a_group_wider_than_its_tile_takes_several_rounds(spark):
+    xy = [(0.5 * i, 10.0 + 0.1 * (i % 3)) for i in range(64)] + [(50.0, 10.0), (50.5, 10.0)]
+    p = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    a = spark.createDataFrame([(1, 0.2, 10.0), (2, 50.1, 10.0)], "anchor_id long, x double, y double")
+    rounds = []
+    got = {tuple(r) for r in anchored_groups(p, a, 0.85, tile=12, labels=lambda v, centres, t: rounds.append(1) or labelled(v, centres, t)).collect()}
+    assert got == {(1, i) for i in range(64)} | {(2, 64), (2, 65)} and len(rounds) > 2
+
+
 def test_clusters_are_pure_and_whole_before_the_trim(spark):
     xy = _rings(np.random.default_rng(8))
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
