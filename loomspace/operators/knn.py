@@ -4,7 +4,7 @@ A quadtree over a bounded sample divides the places into leaves; one aggregation
 boxes (at most ``max_leaves`` rows). A query, or a group of nearby queries, takes leaves in the order of their farthest corner until
 they hold k places: that distance bounds the k-th neighbour. It then visits every leaf whose nearest edge is within the bound, which an
 R-tree over the leaves finds.
-Leaves that stay too full are divided by a hash of the id, and their visitors are copied to each part. Each part ranks its
+Leaves that stay too full, or that many queries ask for, are divided by hashes of the ids on either side. Each part ranks its
 own candidates, and only k rows a query and part go to the final ranking.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from loomspace.functions import geometry as G
 from loomspace.functions.hilbert import hilbert_of_place
+from loomspace.operators.proximity import Parts
 from loomspace.operators.quadtree import build_quadtree, sample_places
 from loomspace.operators.rtree import PackedRTree
 from loomspace.plans.runtime import materialize, ship
@@ -91,10 +92,9 @@ def _windows(x: np.ndarray, y: np.ndarray, side: float, factor: float) -> np.nda
     return np.stack([mx - half, my - half, mx + half, my + half], axis=1)
 
 
-def _each(row: np.ndarray, times: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every row ``times`` over, and beside it the numbers from its ``start`` on."""
-    number = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start, times)
-    return np.repeat(row, times), number
+def _numbers(times: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each row as many numbers as ``times`` says, from its ``start`` on."""
+    return np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start, times)
 
 
 def leaf_stats(places: DataFrame, leaf: Column) -> DataFrame:
@@ -104,7 +104,7 @@ def leaf_stats(places: DataFrame, leaf: Column) -> DataFrame:
 
 def knn_join(
     points: DataFrame, queries: DataFrame, k: int, key_predicate: Column | None = None, value_predicate: Column | None = None,
-    strategy: str = "each", rows: int | None = None, target: int = 8_192, max_leaves: int = 32_768, run: int = 50, order: int = 16, window: tuple[float, float] | None = None, sample_size: int = 400_000,
+    strategy: str = "each", rows: int | None = None, target: int = 8_192, max_leaves: int = 32_768, run: int = 50, order: int = 16, window: tuple[float, float] | None = None, sample_size: int = 400_000, most_queries: int = 16_384,
 ) -> DataFrame:
     """``qid, id, dist, rk``: for each query ``qid, qx, qy`` the ``k`` places ``id, x, y`` nearest to it, equal distances by id.
 
@@ -133,9 +133,12 @@ def knn_join(
     kept = materialize(kept)  # read four times below
     rows = kept.count() if rows is None else rows
     tree = build_quadtree(*sample_places(kept, "x", "y", rows, sample_size), leaf_share=target / max(1, rows), max_leaves=max_leaves)
-    parts = np.maximum(1, np.ceil(tree.weight * rows / target)).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64)
-    where = spark.sparkContext.broadcast((tree, parts, first))
+    asked = asked.distinct()
+    number = asked.count()
+    drawn = sample_places(asked, "qx", "qy", number, 20_000)
+    near = np.bincount(tree.leaf(*drawn), minlength=len(tree)) * (4.0 * number / max(1, len(drawn[0])))  # a query visits a few leaves around its own
+    parts = Parts(tree.weight * rows, near, target, most_queries)
+    where, divided = spark.sparkContext.broadcast((tree, parts)), bool((parts.regions > 1).any())
 
     @F.pandas_udf(T.IntegerType())
     def leaf_of(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -143,27 +146,36 @@ def knn_join(
 
     @F.pandas_udf(T.LongType())
     def part_of(x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
-        tree, parts, first = where.value
+        tree, parts = where.value
         leaf = tree.leaf(x.to_numpy(), y.to_numpy())
-        return pd.Series(first[leaf] + h.to_numpy() % parts[leaf])
+        return pd.Series(parts.first[leaf] + h.to_numpy() % parts.objects[leaf])
+
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, parts = where.value
+        for b in batches:
+            row, part = parts.of(tree.leaf(b["x"].to_numpy(), b["y"].to_numpy()), b["__h"].to_numpy(), False)
+            yield b[["id", "x", "y"]].iloc[row].assign(part=part)
 
-    held = kept.withColumn("part", part_of("x", "y", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 31))
+    placed = T.StructType([*kept.schema.fields, T.StructField("part", T.LongType())])
+    # leaves with many queries too are divided on both sides
+    held = kept.withColumn("__h", hashed("id")).mapInPandas(copied, placed) if divided else kept.withColumn("part", part_of("x", "y", hashed("id")))
     stats = leaf_stats(kept, leaf_of("x", "y")).toPandas()
     if not len(stats):
         return spark.createDataFrame([], out_schema.add("rk", T.LongType()))
     known = spark.sparkContext.broadcast(Leaves(stats["leaf"].to_numpy(), stats["n"].to_numpy(), stats[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)))
-    asked = asked.distinct()
     if strategy == "hilbert":
         asked = asked.withColumn("h", hilbert_of_place(F.col("qx"), F.col("qy"), order)).repartitionByRange("h").sortWithinPartitions("h").drop("h")
     visits = T.StructType([*asked.schema.fields, T.StructField("part", T.LongType())])
+    asked = asked.withColumn("__h", hashed("qid"))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, parts, first = where.value
+        tree, parts = where.value
         leaves = known.value
         for b in batches:
             if not len(b):
                 continue
-            x, y = b["qx"].to_numpy(np.float64), b["qy"].to_numpy(np.float64)
+            x, y, hashes = b["qx"].to_numpy(np.float64), b["qy"].to_numpy(np.float64), b["__h"].to_numpy()
             group = np.arange(len(b)) if strategy == "each" or window else np.arange(len(b)) // run if strategy == "hilbert" else np.unique(tree.leaf(x, y), return_inverse=True)[1]
             at = np.argsort(group, kind="stable")
             starts = np.flatnonzero(np.diff(group[at], prepend=-1))
@@ -171,10 +183,9 @@ def knn_join(
             size = np.diff(np.append(starts, len(at)))
             middle = np.searchsorted(leaves.leaf, tree.leaf((rect[:, 0] + rect[:, 2]) / 2, (rect[:, 1] + rect[:, 3]) / 2))
             for g, see in leaves.visits(rect, middle, k) if window is None else leaves.touched(_windows(x, y, *window)):
-                leaf = leaves.leaf[see]
-                g, part = _each(g, parts[leaf], first[leaf])  # every part of the leaf
-                _, member = _each(g, size[g], starts[g])  # for every member of the group
-                yield b.iloc[at[member]].assign(part=np.repeat(part, size[g]))
+                member = at[_numbers(size[g], starts[g])]  # every member of the group
+                row, part = parts.of(np.repeat(leaves.leaf[see], size[g]), hashes[member], True)
+                yield b[["qid", "qx", "qy"]].iloc[member[row]].assign(part=part)
 
     def rank(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []

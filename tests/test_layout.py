@@ -106,6 +106,7 @@ def test_leaf_statistics_stay_small_however_small_the_parts(spark, places, monke
     asked = spark.createDataFrame([(1, 20.0, 20.0), (2, -100.0, 5.0), (3, 20.1, 19.9)], "qid long, qx float, qy float")
     got = {(r["qid"], r["id"]) for r in knn.knn_join(places, asked, 4, target=8, max_leaves=64).collect()}
     assert seen[0].count() <= 64
+    assert {(r["qid"], r["id"]) for r in knn.knn_join(places, asked, 4, target=8, max_leaves=64, most_queries=1).collect()} == got
     want = set()
     for q, qx, qy in ((1, 20.0, 20.0), (2, -100.0, 5.0), (3, 20.1, 19.9)):
         d = sorted((float(np.float64(np.float32(x) - np.float32(qx)) ** 2 + np.float64(np.float32(y) - np.float32(qy)) ** 2), i) for i, x, y in places.rows)
